@@ -96,11 +96,11 @@ _BAND = ", ".join(f"v * case when tot > 0 then {b} / tot else 1.0 / 3 end as {b}
        f"select contrat, annee, mois, v as consommation, {_BAND}, puissance_facturee, coalesce(niveau_tension, 'HT') as niveau_tension from (select "
        "f.contrat, f.annee, f.mois, f.v, h.consommation_zconhc, h.consommation_zconhl, h.consommation_zconhp, h.puissance_facturee, "
        "h.niveau_tension, h.consommation_zconhc + h.consommation_zconhl + h.consommation_zconhp as tot from (select contrat, y as annee, m as "
-       "mois, y * 12 + m as ym, v from (select contrat, avg(consommation_kwh) as v from cd group by 1) a cross join range(1997, 2003, 5) ys(y) "
+       "mois, y * 12 + m as ym, v from (select contrat, sum(consommation_kwh) / 7 as v from cd group by 1) a cross join range(1997, 2003, 5) ys(y) "
        "cross join range(1, 13) ms(m)) f asof left join (select *, annee * 12 + mois as ym from cd) h on h.contrat = f.contrat and h.ym <= f.ym) x",
-       "cd", scale=7)
+       "cd", scale=4)
 def _(t):
-    f = t.cd.groupBy(N.CONTRAT).agg(F.avg(N.CONSO).alias(CONSO))
+    f = t.cd.groupBy(N.CONTRAT).agg((F.sum(N.CONSO) / 7).alias(CONSO))
     f = f.withColumn(N.ANNEE, F.explode(F.array(F.lit(1997).cast("bigint"), F.lit(2002).cast("bigint"))))
     f = f.withColumn(N.MOIS, F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(12).cast("bigint"))))
     return R.split_bands(f, t.cd)
