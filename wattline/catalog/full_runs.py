@@ -1 +1,76 @@
-"""Registered queries."""
+"""Queries that run whole forecasting pipelines."""
+
+from pyspark.sql import functions as F
+
+from wattline import names as N
+from wattline.catalog.business_rules import weather_coefficients
+from wattline.catalog.registry import query
+from wattline.models import short_term as ST
+from wattline.plans import pipelines as P
+from wattline.sources import tables as T
+
+# A lighter contract grid: the shipped one spelled out for every contract is the cluster's work.
+CONTRACT_GRID = {**ST.CONTRACT_GRID, "blocks": {"none": []}, "lambdas": [0.3], "pc_weights": [0.5], "windows": [3], "use_pf": [False]}
+
+
+def _regional(t):
+    return T.load_regional(t.grd), T.distributor_scan(t.grd)
+
+
+@query("regional_series_j01", "region:s activite:s annee:i mois:i consommation:d",
+       "select region, activite, annee, mois, sum(v) as consommation from (select region, activite, annee, mois, consommation_kwh as v from grd where grd = 'SRM' and "
+       "classe <> 'Total' union all select region, 'All distributers', annee, mois, consommation_kwh from grd where grd <> 'SRM' union all select region, 'Total', annee, "
+       "mois, consommation_kwh from grd where classe = 'Total' or grd <> 'SRM') x group by 1, 2, 3, 4", "grd", scale=2)
+def _(t):
+    return P.regional_series(*_regional(t))
+
+
+@query("short_term_regional_j01", "region:s activite:s annee:i mois:i consommation:d")
+def _(t):
+    monthly = P.regional_series(*_regional(t)).filter(F.col(N.ANNEE) < 2001)
+    return P.short_term_regional(monthly, t.exogenous, 2001)
+
+
+@query("short_term_contracts_j02", "region:s partenaire:s contrat:i activite:s annee:i mois:i consommation:d consommation_zconhc:d consommation_zconhl:d "
+       "consommation_zconhp:d puissance_facturee:d niveau_tension:s")
+def _(t):
+    return P.short_term_contracts(t.contracts, t.exogenous, 2001, CONTRACT_GRID)
+
+
+@query("long_term_regional_j03", "region:s annee:i consommation:d")
+def _(t):
+    monthly = P.regional_series(*_regional(t), levels=(0,))
+    return P.long_term_regional(monthly, t.exogenous, 2000, impute=1998)
+
+
+@query("long_term_contracts_j04", "region:s partenaire:s contrat:i activite:s annee:i consommation:d consommation_zconhc:d puissance_facturee:d niveau_tension:s")
+def _(t):
+    return P.long_term_contracts(t.contracts, t.exogenous, 2000, N.REGION)
+
+
+@query("long_term_contracts_by_activity_j04", "region:s contrat:i activite:s annee:i consommation:d puissance_facturee:d")
+def _(t):
+    return P.long_term_contracts(t.contracts, t.exogenous, 2000, N.ACTIVITE)
+
+
+@query("full_regional_short_term_j05", "Region:s Activity:s Year:i Month:i Consommation:d")
+def _(t):
+    return P.full_regional(*_regional(t), t.exogenous, 2001)[0]
+
+
+@query("full_regional_long_term_j05", "Region:s Year:i Consommation:d")
+def _(t):
+    return P.full_regional(*_regional(t), t.exogenous, 2001)[1]
+
+
+@query("full_contracts_short_term_j06", "Region:s Partenaire:s Contrat:i Activity:s Year:i Month:i Consommation_Total:d Puissance_Facturee:d Niveau_tension:s")
+def _(t):
+    return P.full_contracts(t.contracts, t.exogenous, 2001, CONTRACT_GRID)[0]
+
+
+@query("corrected_forecasts_j07", "region:s annee:i consommation:d meteo:d ev:d ajuste_ev:d")
+def _(t):
+    monthly = P.regional_series(*_regional(t), levels=(0,))
+    ltf = P.long_term_regional(monthly, t.exogenous, 1999, horizon=2)
+    stf = monthly.filter(F.col(N.ANNEE) == 2000).drop(N.ACTIVITE)
+    return P.corrected_forecasts(stf, ltf, t.weather, t.weather_diff, weather_coefficients(t), t.ev)[1]

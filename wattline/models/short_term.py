@@ -54,11 +54,12 @@ def grid_frame(spark: SparkSession, grid: dict = REGIONAL_GRID) -> DataFrame:
 
 
 def pack_series(monthly: DataFrame, keys, value: str, features: DataFrame | None = None, feature_cols=(), growth: DataFrame | None = None,
-                growth_cols=(), clients: DataFrame | None = None, power: str | None = None, feature_keys=()) -> DataFrame:
+                growth_cols=(), clients: DataFrame | None = None, power: str | None = None, feature_keys=(), fill_gaps: bool = False) -> DataFrame:
     """One row per series: sorted years, year-by-month matrix and aligned feature arrays.
 
     A month the series never has is 0; a month missing in some year only leaves the series out, because
-    the models need whole years. Absent features are 0. At most twelve values per year enter a row.
+    the models need whole years (``fill_gaps`` reads such a month as 0 instead). Absent features are 0.
+    At most twelve values per year enter a row.
     """
     on = [*keys, N.ANNEE]
     cells = [F.sum(F.when(F.col(N.MOIS) == m, F.col(value))).alias(f"_m{m}") for m in N.MONTHS]
@@ -90,7 +91,7 @@ def pack_series(monthly: DataFrame, keys, value: str, features: DataFrame | None
     whole = F.lit(True)
     for m in N.MONTHS:
         whole = whole & ((F.col(f"_n{m}") == 0) | (F.col(f"_n{m}") == F.col("_years")))
-    return packed.filter(whole).select(
+    return (packed if fill_gaps else packed.filter(whole)).select(
         *keys, F.col("_s.y").alias("years"),
         F.transform("_s.m", lambda year: F.transform(year, lambda v: F.coalesce(v, F.lit(0.0)))).alias("matrix"),
         F.col("_s.x").alias("exog"), F.col("_s.g").alias("growth"), F.col("_s.c").alias("clients"), F.col("_s.p").alias("power"))
@@ -199,6 +200,28 @@ def _array_metrics(pairs: Column) -> dict[str, Column]:
             "r2": F.when((n >= 2) & (sst > 1e-9 * mean * mean), 1 - _sum(F.transform(err, lambda e: e * e)) / sst)}
 
 
+def monthly_autoregression(packed: DataFrame, keys, n_lags: int = 2, alphas=REGIONAL_ALPHAS) -> DataFrame:
+    """Ridge per calendar month on the same month of earlier years, trained on all other years of the series."""
+    types = dict(packed.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", annee bigint, mois bigint, prediction double, actual double"
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                m = _stack(r.matrix)
+                for month in range(12):
+                    if len(m) <= n_lags + 1:
+                        continue
+                    x, y = K.lagged(m[:, month], n_lags, np.zeros((len(m), 0)))
+                    for i in range(len(y)):
+                        pred = K.ridge_loo(np.delete(x, i, axis=0), np.delete(y, i), x[i], list(alphas))
+                        rows.append((*[getattr(r, k) for k in keys], int(r.years[i + n_lags]), month + 1, pred, float(y[i])))
+            yield pd.DataFrame(rows, columns=[*keys, "annee", "mois", "prediction", "actual"])
+
+    return packed.mapInPandas(run, schema)
+
+
 def score(folds: DataFrame, placeholder_year: int | None = None) -> DataFrame:
     """Monthly and annual errors of each back-test, from its arrays: no shuffle. A placeholder year does not count."""
     zipped = F.arrays_zip(F.col("annees").alias("y"), F.col("predictions").alias("p"), F.col("actuals").alias("a"))

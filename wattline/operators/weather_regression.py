@@ -109,15 +109,11 @@ def _coordinate_descent(gram: np.ndarray, target: np.ndarray, alpha: float, l1:
             beta[:, j] = np.sign(rest) * np.maximum(np.abs(rest) - alpha * l1, 0) / (gram[:, j, j] + alpha * (1 - l1))
     kept = np.abs(beta) > 1e-10
     masked = gram * kept[:, :, None] * kept[:, None, :] + np.eye(target.shape[1]) * ~kept[:, :, None]
-    return np.linalg.lstsq(masked[0], (target * kept)[0], rcond=None)[0][None] if len(masked) == 1 else \
-        (np.linalg.pinv(masked) @ (target * kept)[:, :, None])[:, :, 0]
+    return (np.linalg.pinv(masked) @ (target * kept)[:, :, None])[:, :, 0]
 
 
 def elastic_net_by_group(rows: DataFrame, keys, y: str, alpha: float = 1.0, l1: float = 0.5) -> DataFrame:
-    """Penalised fit per group (l1 = 0 ridge, 1 lasso) from the moments; the penalised columns are refitted by OLS.
-
-    ``l1 = 0`` keeps every column, so its refit would undo the penalty: the ridge solution itself is returned.
-    """
+    """Penalised fit per group from the moments: l1 = 0 is ridge, 1 lasso. With an l1 part the kept columns are refitted by OLS."""
     m = moments(rows, keys, y)
     names = [f"scaled_{COEF[x]}" for x in X]
 
