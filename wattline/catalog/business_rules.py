@@ -55,7 +55,7 @@ def _corr(keys, bands=""):
 
 @query("realised_correction_f04", "region:s annee:i mois:i consommation:d",
        "select region, annee, mois, case when n = 12 and nr > 0 then coalesce(r, v * coalesce(factor, 1)) else v end as consommation from j", "cd",
-       "s as (select region, annee, mois, sum(consommation_kwh) as v from cd group by 1, 2, 3), " + _corr(["region"]), scale=3)
+       "s as (select region, annee, mois, sum(consommation_kwh) as v from cd group by 1, 2, 3), " + _corr(["region"]), scale=4)
 def _(t):
     s = A.monthly_sum(t.cd, [N.REGION]).withColumnRenamed(N.CONSO, CONSO)
     return R.correct_with_realised(_forecast(s), s.filter(F.col(N.ANNEE) == 2001), [N.REGION])
@@ -70,7 +70,7 @@ def _forecast(s, cols=(CONSO,)):
 
 @query("realised_correction_by_activity_f05", "region:s activite:s annee:i mois:i consommation:d",
        "select region, activite, annee, mois, case when n = 12 and nr > 0 then coalesce(r, v * coalesce(factor, 1)) else v end as consommation "
-       "from j", "cd", _S_REG + ", " + _corr(["region", "activite"]), scale=3)
+       "from j", "cd", _S_REG + ", " + _corr(["region", "activite"]), scale=4)
 def _(t):
     s = A.monthly_sum(t.cd, [N.REGION, N.ACTIVITE]).withColumnRenamed(N.CONSO, CONSO)
     return R.correct_with_realised(_forecast(s), s.filter(F.col(N.ANNEE) == 2001), [N.REGION, N.ACTIVITE])
@@ -81,7 +81,7 @@ def _(t):
        "consommation_zconhc, case when ok then x * case when v > 0 then hp / v else 0 end else hp end as consommation_zconhp from (select *, n = "
        "12 and nr > 0 as ok, case when n = 12 and nr > 0 then coalesce(r, v * coalesce(factor, 1)) else v end as x from j) z", "cd",
        "s as (select partenaire, annee, mois, sum(consommation_kwh) as v, sum(consommation_zconhc) as hc, sum(consommation_zconhp) as hp from cd "
-       "group by 1, 2, 3), " + _corr(["partenaire"], ", hc * 1.05 as hc, hp * 1.05 as hp"), scale=3)
+       "group by 1, 2, 3), " + _corr(["partenaire"], ", hc * 1.05 as hc, hp * 1.05 as hp"), scale=4)
 def _(t):
     bands = [N.ZCONHC, N.ZCONHP]
     s = t.cd.groupBy(N.PARTENAIRE, N.ANNEE, N.MOIS).agg(F.sum(N.CONSO).alias(CONSO), *[F.sum(b).alias(b) for b in bands])
@@ -341,7 +341,7 @@ def _(t):
        "select region, annee, case when v >= 0 then v when p >= 0 then p else 0 end as consommation from (select region, y + 2000 as annee, v - y * "
        "(select avg(v) / 4 from h) as v, case when y = 1 then p end as p from h cross join range(1, 6) ys(y)) x", "cd", REG + ", h as (select region, "
        "sum(v) as v, max(l) as p from (select region, annee, v, null as l from rm where annee = 2000 union all select region, annee, v, null from rm "
-       "where false) z group by 1)".replace("max(l) as p", "sum(v) as p"), scale=3)
+       "where false) z group by 1)".replace("max(l) as p", "sum(v) as p"), scale=4)
 def _(t):
     annual = monthly(t, N.REGION).filter(F.col(N.ANNEE) == 2000).groupBy(N.REGION, N.ANNEE).agg(F.sum("v").alias(CONSO))
     step = annual.agg((F.avg(CONSO) / 4).alias("step"))

@@ -51,7 +51,7 @@ def _(t):
 @query("all_metrics_g02", "region:s activite:s config:s monthly_mae:d monthly_mape:d monthly_r2:d annual_mae:d annual_mape:d annual_r2:d",
        f"select a.*, annual_mae, annual_mape, annual_r2 from (select region, activite, config, {_MAE} as monthly_mae, {_MAPE} as monthly_mape, {_R2} as "
        "monthly_r2 from pm group by 1, 2, 3) a join res on res.region = a.region and res.activite = a.activite and res.config = a.config", "cd",
-       _NAIVE + ", " + _ANN)
+       _NAIVE + ", " + _ANN, scale=6)
 def _(t):
     return M.all_metrics(naive_monthly(t), [*KEYS, "config"])
 
@@ -74,8 +74,8 @@ def _(t):
 
 
 @query("valid_models_g05", "region:s activite:s config:s n:i",
-       "select region, activite, config, count(*) as n from pm where not (config = 'up' and activite = 'BUILDING') and not (config = 'down' and region = "
-       "'ASIA') group by 1, 2, 3", "cd", _NAIVE)
+       "select region, activite, config, count(*) as n from pm group by 1, 2, 3 having not (config = 'up' and activite = 'BUILDING' and count(*) filter (where mois "
+       "= 3) > 0) and not (config = 'down' and region = 'ASIA' and count(*) filter (where mois = 7) > 0)", "cd", _NAIVE)
 def _(t):
     p = F.col("prediction")
     broken = (F.when((F.col("config") == "up") & (F.col(N.ACTIVITE) == "BUILDING") & (F.col(N.MOIS) == 3), F.lit(float("nan")))
@@ -87,7 +87,7 @@ def _(t):
 @query("residual_interval_g06", "region:s activite:s mois:i prediction:d bas:d haut:d",
        "select region, activite, mois, max(case when annee = 2001 then prediction end) as prediction, max(case when annee = 2001 then prediction end) + "
        "quantile_cont(actual - prediction, 0.025) filter (where annee <> 2001) as bas, max(case when annee = 2001 then prediction end) + "
-       "quantile_cont(actual - prediction, 0.975) filter (where annee <> 2001) as haut from pm where config = 'same' group by 1, 2, 3", "cd", _NAIVE, scale=3)
+       "quantile_cont(actual - prediction, 0.975) filter (where annee <> 2001) as haut from pm where config = 'same' group by 1, 2, 3", "cd", _NAIVE, scale=6)
 def _(t):
     return M.residual_interval(naive_monthly(t).filter("config = 'same'"), KEYS, F.lit(2001))
 

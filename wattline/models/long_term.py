@@ -41,6 +41,7 @@ def mean_reverting(years, y, x, new_years, x_new, params):
 MODELS = {"gp": trend_gp, "mean_reverting": mean_reverting}
 
 
+# (the registry travels inside each job's closure: workers never import the caller's additions)
 def register_model(name: str, fit_predict) -> None:
     """Add a model callers can name in a grid."""
     if not callable(fit_predict):
@@ -92,7 +93,7 @@ def pack_annual(annual: DataFrame, features: DataFrame, keys, value: str, block,
                                   (("y", "years"), ("v", "values"), ("x", "features"), ("d", "driver"), ("p", "power"))]), columns
 
 
-def _call(r, params, train: slice, test: slice):
+def _call(r, params, train: slice, test: slice, models):
     years = np.asarray(r.years)
     x = np.array([np.asarray(v, float) for v in r.features])[:, list(r.cols)] if len(r.cols) else np.zeros((len(years), 0))
     if r.use_pf:
@@ -101,7 +102,7 @@ def _call(r, params, train: slice, test: slice):
     d = np.asarray(r.driver, float) if params.get("intensity") else np.ones(len(years))
     if not np.isfinite(d[test]).all() or (d[train] == 0).any():
         raise ValueError("the driver is missing for a forecast year or zero in a training year")
-    out = MODELS[params["model"]](years[train], y[train] / d[train], x[train], years[test], x[test], params)
+    out = models[params["model"]](years[train], y[train] / d[train], x[train], years[test], x[test], params)
     return [o * d[test] for o in out]
 
 
@@ -111,6 +112,7 @@ def annual_folds(packed: DataFrame, grid: DataFrame, keys, min_train: int = 3) -
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + (
         ", ordinal int, cols array<int>, window int, use_pf boolean, params string, annees array<bigint>, predictions array<array<double>>, "
         "actuals array<array<double>>")
+    models = dict(MODELS)
 
     def run(batches):
         for pdf in batches:
@@ -124,7 +126,7 @@ def annual_folds(packed: DataFrame, grid: DataFrame, keys, min_train: int = 3) -
                     if t - first < min_train:
                         continue
                     try:
-                        mean = _call(r, params, slice(first, t), slice(t, t + 1))[0]
+                        mean = _call(r, params, slice(first, t), slice(t, t + 1), models)[0]
                     except (np.linalg.LinAlgError, ValueError):
                         continue
                     years.append(int(r.years[t]))
@@ -143,6 +145,7 @@ def refit_horizon(packed: DataFrame, best: DataFrame, keys) -> DataFrame:
     types = dict(packed.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", ordinal int, annee bigint, prediction double, bas double, haut double"
     work = packed.join(best.select(*keys, "ordinal", "cols", "window", "use_pf", "params"), list(keys))
+    models = dict(MODELS)
 
     def run(batches):
         for pdf in batches:
@@ -150,7 +153,7 @@ def refit_horizon(packed: DataFrame, best: DataFrame, keys) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 n = int(np.isfinite(np.asarray(r.values, float)).sum())
                 first = 0 if pd.isna(r.window) else max(0, n - int(r.window))
-                mean, low, high = _call(r, json.loads(r.params), slice(first, n), slice(n, len(r.years)))
+                mean, low, high = _call(r, json.loads(r.params), slice(first, n), slice(n, len(r.years)), models)
                 key = [getattr(r, k) for k in keys]
                 rows += [(*key, r.ordinal, int(y), float(a), float(b), float(c)) for y, a, b, c in zip(r.years[n:], mean, low, high)]
             yield pd.DataFrame(rows, columns=[*keys, "ordinal", N.ANNEE, "prediction", "bas", "haut"])

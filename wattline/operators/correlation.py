@@ -57,7 +57,7 @@ def correlated_pairs(yearly: DataFrame, key: str, value: str, threshold: float)
     met = met.withColumn("_x", raw).withColumn("_mean", F.aggregate("_x", F.lit(0.0), lambda a, v: a + v) / F.size("_x"))
     met = met.withColumn("_x", F.transform("_x", lambda v: v - F.col("_mean")))
     met = met.withColumn("_norm", F.sqrt(F.aggregate("_x", F.lit(0.0), lambda a, v: a + v * v))).filter(F.col("_norm") > 0)
-    unit = met.select(key, "_own", "_other", F.transform("_x", lambda v: v / F.col("_norm")).alias("_z"))
+    unit = met.select(key, "_own", "_other", F.transform("_x", lambda v: v / F.nullif(F.col("_norm"), F.lit(0.0))).alias("_z"))
 
     def cell(z: Column, i: int) -> Column:
         return F.floor(F.element_at(z, i) / width)

@@ -116,7 +116,8 @@ def short_term_contracts(contracts: DataFrame, exogenous: DataFrame, year: int,
     growing = B.growth_forecast(near.join(classes.filter("classe_contrat = 'growth'"), N.CONTRAT, "left_semi"), tested, contracts, year)
     new = B.similarity_forecast(near.join(classes.filter("classe_contrat = 'similarity'"), N.CONTRAT, "left_semi"), tested, year)
     cols = [N.CONTRAT, N.ANNEE, N.MOIS, V]
-    forecast = ahead.select(*cols).unionByName(growing.select(*cols)).unionByName(new.select(*cols))
+    young_rows = B.with_empty_results(young, growing.select(*cols).unionByName(new.select(*cols)), year)
+    forecast = ahead.select(*cols).unionByName(young_rows.withColumn(V, F.coalesce(V, F.lit(0.0))).select(*cols))
     attributes = R.first_attributes(contracts, [N.REGION, N.PARTENAIRE, N.ACTIVITE])
     return R.split_bands(forecast, contracts).join(attributes, N.CONTRAT, "left")
 
