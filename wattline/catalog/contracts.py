@@ -115,13 +115,18 @@ def _(t):
 
 
 _VEC = [(f"{a}{i}", c, i) for a, c in (("pf", "puissance_facturee"), ("pa", "puissance_appelee"), ("use", "consommation_kwh")) for i in N.MONTHS]
+_FIRST = (" from (select c.*, row_number() over (partition by c.contrat order by mois) as k from contracts c join contract_span s on s.contrat = c.contrat and "
+          "s.start_year = c.annee) x group by 1, 2")
 
 
-@query("first_year_vectors_e23", "contrat:i annee:i " + " ".join(f"{n}:d" for n, _, _ in _VEC) + " "
-       + " ".join(f"ratio{i}:d" for i in N.MONTHS),
-       "select contrat, annee, " + ", ".join(f"coalesce(max(case when k = {i} then {c} end), 0) as {n}" for n, c, i in _VEC) + ", "
-       + ", ".join(f"coalesce(max(case when k = {i} then puissance_appelee / puissance_facturee end), 0) as ratio{i}" for i in N.MONTHS)
-       + " from (select c.*, row_number() over (partition by c.contrat order by mois) as k from contracts c join contract_span s on "
-       "s.contrat = c.contrat and s.start_year = c.annee) x group by 1, 2", "contracts", SPAN, scale=7)
+@query("first_year_vectors_e23", "contrat:i annee:i " + " ".join(f"{n}:d" for n, _, _ in _VEC),
+       "select contrat, annee, " + ", ".join(f"coalesce(max(case when k = {i} then {c} end), 0) as {n}" for n, c, i in _VEC) + _FIRST, "contracts", SPAN, scale=2)
+def _(t):
+    return K.first_year_vectors(t.contracts, K.contract_spans(t.contracts))
+
+
+@query("first_year_ratios_e23", "contrat:i annee:i " + " ".join(f"ratio{i}:d" for i in N.MONTHS),
+       "select contrat, annee, " + ", ".join(f"coalesce(max(case when k = {i} then puissance_appelee / puissance_facturee end), 0) as ratio{i}" for i in N.MONTHS)
+       + _FIRST, "contracts", SPAN, scale=10)
 def _(t):
     return K.first_year_vectors(t.contracts, K.contract_spans(t.contracts))
