@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wattline.llm import mixing, sharding
+from wattline.llm import exact_dedup, mixing, sharding
 
-_MODULES = (mixing, sharding)
+_MODULES = (exact_dedup, mixing, sharding)
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
