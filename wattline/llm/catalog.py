@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wattline.llm import decontamination, exact_dedup, mixing, sharding
+from wattline.llm import decontamination, exact_dedup, mixing, sharding, substring_dedup
 
-_MODULES = (decontamination, exact_dedup, mixing, sharding)
+_MODULES = (decontamination, exact_dedup, mixing, sharding, substring_dedup)
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

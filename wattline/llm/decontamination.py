@@ -19,12 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wattline.llm import kit, textkit as tk
+from wattline.llm import bitset, kit, textkit as tk
 
 WINDOW = 13
 SHINGLE = 3
-FILTER_BITS = 24
-_BLOCK = 16
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = {c: c + 32 for c in range(0x41, 0x5B)}
 _ALNUM, _LOWER = tk.alnum_table(), tk.lower_table()
@@ -62,36 +60,15 @@ def item_windows(bench: DataFrame, item: str = "item_id", text: str = "text", wi
         cut, "item string, win string, n int, k int, at int, shingle long")
 
 
-def bit_filter(hashes: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bit set of ``2**bits`` bits with the low bits of every value; built in blocks, so the driver gets 2**bits / 8 bytes."""
-    def block(pdf):
-        import pandas as pd
-
-        flags = np.zeros(1 << _BLOCK, dtype=bool)
-        flags[pdf["low"].to_numpy()] = True
-        return pd.DataFrame({"block": pdf["block"][:1], "flags": [np.packbits(flags).tobytes()]})
-
-    place = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-    rows = (hashes.select(F.shiftright(place, _BLOCK).alias("block"), place.bitwiseAND(F.lit((1 << _BLOCK) - 1)).alias("low"))
-            .distinct().groupBy("block").applyInPandas(block, "block long, flags binary").toArrow())
-    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
-    width = (1 << _BLOCK) // 8
-    for b, flags in zip(rows["block"].to_pylist(), rows["flags"].to_pylist()):
-        out[b * width:(b + 1) * width] = np.frombuffer(flags, dtype=np.uint8)
-    return out
-
-
 def _hits(low: np.ndarray, offsets: np.ndarray, lengths: list[int], flags: np.ndarray):
     """Word spans, first words of texts, and for each shingle length the positions and hashes that pass the filter."""
     starts, ends, first = tk.word_spans(low, offsets, _ALNUM)
     words = tk.word_hashes(low, starts, ends)
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    mask = np.uint64(len(flags) * 8 - 1)
     found = []
     for k in lengths:
         h = tk.shingle_hashes(words, k)
-        low_bits = h & mask
-        pos = np.flatnonzero((flags[low_bits >> np.uint64(3)] >> (np.uint8(7) - (low_bits & np.uint64(7)).astype(np.uint8))) & 1)
+        pos = np.flatnonzero(bitset.test(flags, h))
         pos = pos[owner[pos] == owner[pos + k - 1]]
         found.append((k, pos, h[pos]))
     return starts, ends, first, owner, found
@@ -157,14 +134,14 @@ def contamination(docs: DataFrame, bench: DataFrame, row: str = "doc_id", text:
     cut = kit.materialize(item_windows(bench, item, item_text, window, shingle), "decontaminate-windows")
     lengths = sorted(r[0] for r in cut.select("k").distinct().collect())
     share = spark.sparkContext.broadcast
-    counts = shingle_counts(docs, text, lengths or [shingle], share(bit_filter(cut, "shingle")))
+    counts = shingle_counts(docs, text, lengths or [shingle], share(bitset.build(cut, "shingle")))
     rarest = F.min_by(F.struct("at", "shingle", "count"), F.struct("count", "shingle", "at")).alias("_p")
     prefix = kit.materialize(
         cut.select("win", "n", "at", "shingle").distinct()
         .join(counts.withColumnRenamed("n", "count"), "shingle", "left").withColumn("count", F.coalesce("count", F.lit(0)))
         .groupBy("win", "n").agg(rarest).where(F.col("_p.count") > 0)
         .select("win", "n", F.col("_p.at").alias("at"), F.col("_p.shingle").alias("shingle")), "decontaminate-prefix")
-    found = kit.materialize(passages(docs, row, text, lengths or [shingle], share(bit_filter(prefix, "shingle")), window), "decontaminate-hits")
+    found = kit.materialize(passages(docs, row, text, lengths or [shingle], share(bitset.build(prefix, "shingle")), window), "decontaminate-hits")
     near = found.select("uid", "n_words", F.explode("hits").alias("h")).select("uid", "n_words", "h.*").join(prefix, "shingle")
     start = F.col("pos") - F.col("at")
     same = F.expr("concat_ws(' ', slice(split(around, ' '), lead - at + 1, n)) = win")
