@@ -42,3 +42,22 @@ def numbered(df: DataFrame, bucket: Column, order: list[Column], out: str, by: l
                          *([F.sum("_rows").over(group).alias(total)] if total else []))
     ranked = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
     return ranked.join(shift, keys).withColumn(out, F.col(out) + F.col("_shift")).drop("_bucket", "_shift")
+
+
+def held_out(row: Column) -> Column:
+    """Rows kept from learning: crc32 of the id as text is divisible by 5; a null id counts as empty text."""
+    return F.crc32(F.coalesce(row.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def bounded_sample(df: DataFrame, stratum: str, per_stratum: int, seed: int, key: list[str]) -> DataFrame:
+    """At most ``per_stratum`` rows of each value of ``stratum``: those with the least seeded draws, with ``_count``,
+    the stratum's rows in ``df``.
+
+    Large strata are thinned by their draw first, so no task ranks more than about twice the bound.
+    """
+    counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_count"))
+    drawn = df.withColumn("_draw", seeded(seed, *[F.col(k) for k in key]))
+    thin = drawn.join(F.broadcast(counts), stratum).where(
+        F.col("_draw") / 2.0 ** 64 + 0.5 <= (2.0 * per_stratum + 50) / F.col("_count"))
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy("_draw", *key))
+    return thin.withColumn("_rank", rank).where(F.col("_rank") <= per_stratum).drop("_rank")
