@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wattline.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, sharding, substring_dedup
+from wattline.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, quality, sharding, substring_dedup
 
-_MODULES = (decontamination, exact_dedup, language_id, mixing, near_dedup, sharding, substring_dedup)
+_MODULES = (decontamination, exact_dedup, language_id, mixing, near_dedup, quality, sharding, substring_dedup)
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
