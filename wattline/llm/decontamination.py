@@ -95,7 +95,7 @@ def shingle_counts(docs: DataFrame, text: str, lengths: list[int], flags) -> Dat
 def passages(docs: DataFrame, row: str, text: str, lengths: list[int], flags, window: int) -> DataFrame:
     """A row for each document: its id, number of words, and the prefix shingles in it with the words around them."""
     hit = pa.struct([("shingle", pa.int64()), ("pos", pa.int32()), ("lead", pa.int32()), ("around", pa.string())])
-    schema = pa.schema([("uid", pa.string()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(hit))])
+    schema = pa.schema([("uid", pa.string()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(hit))])
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import secrets
@@ -115,16 +115,16 @@ def passages(docs: DataFrame, row: str, text: str, lengths: list[int], flags, wi
                         hits[d].append({"shingle": v, "pos": p - int(first[d]), "lead": p - int(a), "around": around})
                 yield pa.RecordBatch.from_arrays([
                     pa.array([f"{task}-{made + x}" for x in range(j - i)]), ids.slice(i, j - i),
-                    pa.array(np.diff(first)), pa.array(hits, pa.list_(hit))], schema=schema)
+                    batch.column(2).slice(i, j - i), pa.array(np.diff(first)), pa.array(hits, pa.list_(hit))], schema=schema)
                 made += j - i
 
-    return docs.select(F.col(row).cast("long"), F.col(text).cast("string")).mapInArrow(
-        search, "uid string, doc_id long, n_words long, hits array<struct<shingle:long,pos:int,lead:int,around:string>>")
+    return docs.select(F.col(row).cast("long"), F.col(text).cast("string"), F.xxhash64(text)).mapInArrow(
+        search, "uid string, doc_id long, th long, n_words long, hits array<struct<shingle:long,pos:int,lead:int,around:string>>")
 
 
 def contamination(docs: DataFrame, bench: DataFrame, row: str = "doc_id", text: str = "text", item: str = "item_id",
                   item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """Documents (``uid``, ``doc_id``, ``n_words``) and matches (``uid``, ``start``, ``n``, ``item``), one row for each
+    """Documents (``uid``, ``doc_id``, ``th`` (xxhash64 of the text), ``n_words``) and matches (``uid``, ``start``, ``n``, ``item``), one row for each
     occurrence of an item's window in a document; ``start`` counts words from 0.
 
     Null and empty texts have no words and no matches; items without words have no windows; a null item id reads
@@ -147,11 +147,11 @@ def contamination(docs: DataFrame, bench: DataFrame, row: str = "doc_id", text:
     same = F.expr("concat_ws(' ', slice(split(around, ' '), lead - at + 1, n)) = win")
     exact = near.where((start >= 0) & (start + F.col("n") <= F.col("n_words")) & (F.col("lead") >= F.col("at"))).where(same)
     spans = exact.select("uid", start.alias("start"), "n", "win")
-    return found.select("uid", "doc_id", "n_words"), spans.join(cut.select("win", "item").distinct(), "win").select("uid", "start", "n", "item")
+    return found.select("uid", "doc_id", "th", "n_words"), spans.join(cut.select("win", "item").distinct(), "win").select("uid", "start", "n", "item")
 
 
 def report(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
-    """Per document: words, words hit by any window, items found and whether a twentieth or more of it is hit."""
+    """Per document: words, words hit by any window, items found, whether a twentieth or more of it is hit, and its text's hash."""
     rows, matches = contamination(docs, bench, **options)
     matches = kit.materialize(matches, "decontaminate-matches")
     cover = F.expr("aggregate(array_sort(spans), named_struct('n', 0L, 'end', 0), (a, x) -> named_struct("
@@ -163,11 +163,11 @@ def report(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     return rows.join(hit, "uid", "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.sha2(F.concat_ws(",", F.coalesce("items", F.array().cast("array<string>"))).cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), F.col("th").alias("text_hash"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(kit.table(spark, sf_dir, "documents"), kit.table(spark, sf_dir, "benchmark"))
+    return report(kit.table(spark, sf_dir, "documents"), kit.table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 QUERIES = {"op1_decontamination": op1_decontamination}

@@ -17,6 +17,7 @@ most pairs are above it, and groups are usually linked more than once.
 
 from __future__ import annotations
 
+import math
 import secrets
 from collections.abc import Iterator
 
@@ -30,7 +31,6 @@ from wattline.llm import bitset, components as cc, kit, textkit as tk
 SHINGLE = 3
 SKETCH = 64
 NUMERATOR, DENOMINATOR = 85, 100
-SHARED = 0.625
 LEVEL_BITS = 22
 ROUNDS = 2
 _WORDS, _LOWER = tk.space_table(), tk.lower_table()
@@ -50,7 +50,7 @@ def _sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]
 
 
 def sketches(docs: DataFrame, k: int, size: int) -> DataFrame:
-    """(uid, doc_id, n, f1, f2, sketch): size and fingerprint of each document's set and its least hashes."""
+    """(uid, doc_id, th, n, f1, f2, sketch): size and fingerprint of each document's set and its least hashes."""
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = secrets.token_hex(8), 0
         for batch in parts:
@@ -64,12 +64,12 @@ def sketches(docs: DataFrame, k: int, size: int) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
                 values = pa.array(tk.signed(np.concatenate(kept)) if kept else [], pa.int64())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([f"{task}-{made + x}" for x in range(j - i)]), batch.column(0).slice(i, j - i), pa.array(n, pa.int64()),
+                    pa.array([f"{task}-{made + x}" for x in range(j - i)]), batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n, pa.int64()),
                     pa.array(tk.signed(np.array(f1, np.uint64))), pa.array(tk.signed(np.array(f2, np.uint64))),
-                    pa.ListArray.from_arrays(pa.array(ends), values)], names=["uid", "doc_id", "n", "f1", "f2", "sketch"])
+                    pa.ListArray.from_arrays(pa.array(ends), values)], names=["uid", "doc_id", "th", "n", "f1", "f2", "sketch"])
                 made += j - i
 
-    return docs.mapInArrow(make, "uid string, doc_id long, n long, f1 long, f2 long, sketch array<long>")
+    return docs.mapInArrow(make, "uid string, doc_id long, th long, n long, f1 long, f2 long, sketch array<long>")
 
 
 def _levels(values: DataFrame, bits: int) -> np.ndarray:
@@ -95,7 +95,7 @@ def _prefix_length(n: int, size: int, numerator: int, denominator: int, shared:
     """Values to list so that sets at the threshold meet.
 
     Small sets are their own sketches, and so are all sets they may be linked to: ``n - ceil(t n) + 1``. Of a full sketch
-    at least ``shared`` of the values are in the other sketch (85 % are expected; 62.5 % is five deviations below).
+    at least ``shared`` of the values are in the other sketch: five standard deviations below the threshold.
     """
     if n * denominator <= size * numerator:
         return n - -(-n * numerator // denominator) + 1
@@ -248,32 +248,35 @@ def links(reps: DataFrame, docs: DataFrame, k: int, size: int, numerator: int, d
 
 
 def groups(df: DataFrame, row: str = "doc_id", text: str = "text", shingle: int = SHINGLE, size: int = SKETCH,
-           numerator: int = NUMERATOR, denominator: int = DENOMINATOR, shared: float = SHARED,
+           numerator: int = NUMERATOR, denominator: int = DENOMINATOR,
            level_bits: int = LEVEL_BITS, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``df``.
+    """(doc_id, n_shingles, component_id, kept, text_hash) for every row of ``df``; ``text_hash`` is xxhash64 of the text.
 
     Sets with ``denominator * common >= numerator * union`` are linked; a group's id is its smallest document id. Words
     are runs of anything but ``[\\x20\\x09-\\x0D]``, A-Z lower-cased; a text of fewer words than a shingle is one shingle.
     Null texts and texts without words have no set and no links. Rows that share an id follow the class of their own
     text each. A null id counts as larger than all others and comes back as null.
     """
-    docs = df.select(F.coalesce(F.col(row).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = df.select(F.coalesce(F.col(row).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text).cast("string").alias("text"),
+                     F.xxhash64(text).alias("th"))
     rows = kit.materialize(sketches(docs, shingle, size), "near-sketches")
     classes = kit.materialize(rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "uid")).alias("r")), "near-classes")
-    slim = rows.select("uid", "doc_id", "n", "f1", "f2")
+    slim = rows.select("uid", "doc_id", "th", "n", "f1", "f2")
     members = kit.materialize(slim.join(classes, ["n", "f1", "f2"], "left").select(
-        "uid", "doc_id", "n", F.coalesce("r.doc_id", "doc_id").alias("rep"), (F.col("uid") == F.col("r.uid")).alias("first")), "near-members")
+        "uid", "doc_id", "th", "n", F.coalesce("r.doc_id", "doc_id").alias("rep"), (F.col("uid") == F.col("r.uid")).alias("first")), "near-members")
     reps = kit.materialize(rows.join(members.where("first").select("uid", "rep"), "uid").select("rep", "n", "f1", "sketch"), "near-reps")
+    t = numerator / denominator
+    shared = t - 5 * math.sqrt(t * (1 - t) / size)
     edges = links(reps, docs, shingle, size, numerator, denominator, shared, level_bits, rounds)
     labels = kit.materialize(cc.components(edges), "near-components")
     named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
     back = lambda c: F.when(F.col(c) != _LAST, F.col(c))
     return named.select(back("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), back("c").alias("component_id"),
-                        (F.col("doc_id") == F.col("c")).alias("kept"))
+                        (F.col("doc_id") == F.col("c")).alias("kept"), F.col("th").alias("text_hash"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(kit.table(spark, sf_dir, "documents"))
+    return groups(kit.table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 QUERIES = {"op4_near_dedup": op4_near_dedup}
