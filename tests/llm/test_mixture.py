@@ -60,8 +60,9 @@ def test_shards(clashing, documents, shards, bucket_rows):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     counts = [len(slots.get(i, [])) for i in range(shards)]
     assert max(counts) - min(counts) <= 1
-    for per in mix.values():  # each shard has its proportion of each source
-        assert max(per.get(i, 0) for i in range(shards)) - min(per.get(i, 0) for i in range(shards)) <= 2
+    for per in mix.values():  # a cut of the order is off by one row of each source at most, so a shard by its part of those
+        n = sum(per.values())
+        assert all(abs(per.get(i, 0) - n / shards) <= 1 + n * len(mix) / len(got) for i in range(shards))
     assert {(r["doc_id"], r["shard"], r["slot"]) for r in got} == {(r["doc_id"], r["shard"], r["slot"]) for r in out.collect()}
 
 
