@@ -19,20 +19,25 @@ def _ridge(z, y, alphas):
     return np.linalg.solve(gram[..., None, :, :] + np.asarray(alphas)[:, None, None] * eye, moment[..., None, :, :])[..., 0]
 
 
-def ridge_loo(x: np.ndarray, y: np.ndarray, x_test: np.ndarray, alphas) -> float:
-    """Ridge on scaled inputs; alpha by leave-one-out mean absolute error, first one on ties."""
-    best = alphas[0]
-    n = len(x)
+def ridge_loo_many(x: np.ndarray, y: np.ndarray, x_test: np.ndarray, alphas) -> np.ndarray:
+    """Ridge on scaled inputs for a stack of problems (b, n, f), (b, n), (b, f); alpha of each by leave-one-out mean
+    absolute error, the first one on ties."""
+    stack, n = y.shape
+    best = np.zeros(stack, dtype=int)
     if n >= 2 and len(alphas) > 1:
         keep = np.array([[j for j in range(n) if j != i] for i in range(n)])
-        xt, yt = x[keep], y[keep]
+        xt, yt = x[:, keep], y[:, keep]
         mu, sd = scale_fit(xt)
-        beta = _ridge((xt - mu[:, None]) / sd[:, None], yt, alphas)
-        pred = yt.mean(axis=1)[:, None] + np.einsum("iaf,if->ia", beta, (x - mu) / sd)
-        best = alphas[int(np.argmin(np.abs(pred - y[:, None]).mean(axis=0)))]
+        beta = _ridge((xt - mu[..., None, :]) / sd[..., None, :], yt, alphas)
+        pred = yt.mean(axis=-1)[..., None] + np.einsum("biaf,bif->bia", beta, (x - mu) / sd)
+        best = np.argmin(np.abs(pred - y[..., None]).mean(axis=1), axis=1)
     mu, sd = scale_fit(x)
-    beta = _ridge((x - mu) / sd, y, [best])[0]
-    return float(y.mean() + ((x_test - mu) / sd) @ beta)
+    beta = _ridge((x - mu[:, None]) / sd[:, None], y, alphas)[np.arange(stack), best]
+    return y.mean(axis=1) + np.einsum("bf,bf->b", (x_test - mu) / sd, beta)
+
+
+def ridge_loo(x: np.ndarray, y: np.ndarray, x_test: np.ndarray, alphas) -> float:
+    return float(ridge_loo_many(x[None], y[None], x_test[None], alphas)[0])
 
 
 def weighted_pca(x: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,18 +59,28 @@ def lagged(values: np.ndarray, n_lags: int, extra: np.ndarray) -> tuple[np.ndarr
     return np.array(rows), values[n_lags:]
 
 
-def pattern_forecast(m, t, n_lags, lam, n_pcs, first_extra, later_extra, alphas):
-    """Twelve months of row t: each component's score regressed on its lags, from rows before t."""
+def principal(m: np.ndarray, t: int, lam: float | None, k: int):
+    """Scale, mean, directions and scores of the rows before t, recent ones weighted more."""
     mu, sd = scale_fit(m[:t])
     z = (m[:t] - mu) / sd
-    mean, comps = weighted_pca(z, power_weights(t, lam), n_pcs)
-    scores = (z - mean) @ comps.T
-    out = np.zeros(len(comps))
-    for i in range(len(comps)):
-        extra = first_extra if i == 0 else later_extra
-        if t > n_lags:
-            x, y = lagged(scores[:, i], n_lags, extra)
-            out[i] = ridge_loo(x, y, np.concatenate([scores[t - n_lags:, i], extra[t]]), alphas)
+    mean, comps = weighted_pca(z, power_weights(t, lam), k)
+    return mu, sd, mean, comps, (z - mean) @ comps.T
+
+
+def score_forecasts(scores: np.ndarray, n_lags: int, extra: np.ndarray, alphas) -> np.ndarray:
+    """Next value of each row of ``scores`` (b, t) from its lags and the extra columns; 0 without a training row."""
+    stack, t = scores.shape
+    if t <= n_lags or not stack:
+        return np.zeros(stack)
+    pairs = [lagged(s, n_lags, extra) for s in scores]
+    now = np.concatenate([scores[:, t - n_lags:], np.broadcast_to(extra[t], (stack, extra.shape[1]))], axis=1)
+    return ridge_loo_many(np.stack([p[0] for p in pairs]), np.stack([p[1] for p in pairs]), now, alphas)
+
+
+def pattern_forecast(m, t, n_lags, lam, n_pcs, first_extra, later_extra, alphas):
+    """Twelve months of row t: each component's score regressed on its lags, from rows before t."""
+    mu, sd, mean, comps, scores = principal(m, t, lam, n_pcs)
+    out = np.concatenate([score_forecasts(scores.T[:1], n_lags, first_extra, alphas), score_forecasts(scores.T[1:], n_lags, later_extra, alphas)])
     return (out @ comps + mean) * sd + mu
 
 

@@ -101,72 +101,117 @@ def _stack(values) -> np.ndarray:
     return np.array([np.asarray(v, dtype=float) for v in values])
 
 
-def _folds(r, alphas, n_pcs):
-    """Back-test predictions of one series under one configuration: test years and their 12 months."""
-    m, years = _stack(r.matrix), np.asarray(r.years)
-    annual, block = m.sum(axis=1), list(r.block)
-    exog = _stack(r.exog)[:, block] if block else np.zeros((len(m), 0))
-    clients, power = _stack(r.clients), _stack(r.power)
-    yearly = np.column_stack([exog] + ([clients.sum(axis=1)] if r.use_clients else []) + ([power.sum(axis=1)] if r.use_pf else []))
-    monthly = np.column_stack([exog] + ([clients] if r.use_clients else []) + ([power] if r.use_pf else []))
-    out_years, out = [], []
-    start = 3 if r.strategy == 4 else int(r.n_lags)
-    for t in range(start, len(m)):
-        past = m[:t]
-        if r.strategy == 4:
-            window = int(r.window)
-            first = max(0, t - window)
-            if t - first < 3 or (annual[first:t] <= 0).any():
+def _config(c) -> dict:
+    """A configuration as Arrow delivers it, with absent options as None and counts as int again."""
+    out = {k: None if np.ndim(v) == 0 and v != v else v for k, v in dict(c).items()}
+    out.update({k: int(out[k]) for k in ("n_lags", "window") if out[k] is not None})
+    return {**out, "block": tuple(int(i) for i in out["block"])}
+
+
+class _Series:
+    """One series with what its configurations share: components by (fold, lambda), regressions by (fold, lags, inputs)."""
+
+    def __init__(self, r, lambdas, alphas, n_pcs: int):
+        self.m, self.years, self.exog = _stack(r.matrix), np.asarray(r.years), _stack(r.exog)
+        self.growth, self.clients, self.power = _stack(r.growth), _stack(r.clients), _stack(r.power)
+        self.annual = self.m.sum(axis=1)
+        self.lambdas, self.alphas, self.n_pcs = lambdas, alphas, n_pcs
+        self._known: dict[tuple, object] = {}
+
+    def _once(self, key: tuple, make):
+        if key not in self._known:
+            self._known[key] = make()
+        return self._known[key]
+
+    def inputs(self, block: tuple, clients: bool, power: bool, monthly: bool) -> np.ndarray:
+        """Columns of a regression: features, then client forecasts and billed power, by month or as yearly sums."""
+        parts = [self.exog[:, list(block)] if block else np.zeros((len(self.m), 0))]
+        for used, values in ((clients, self.clients), (power, self.power)):
+            if used:
+                parts.append(values if monthly else values.sum(axis=1, keepdims=True))
+        return np.column_stack(parts)
+
+    def level(self, t: int, lags: int, block: tuple, clients: bool, power: bool):
+        return self._once(("level", t, lags, block, clients, power), lambda: K.annual_forecast(
+            self.annual, t, lags, self.inputs(block, clients, power, False), self.alphas))
+
+    def grown(self, t: int, window: int, block: tuple, power: bool):
+        first = max(0, t - window)
+        if t - first < 3 or (self.annual[first:t] <= 0).any():
+            return None
+        g = self.growth[:, list(block)] if block else np.zeros((len(self.m), 0))
+        if block and power:
+            g = np.column_stack([g, self.power.sum(axis=1)])
+        return self._once(("grown", t, window, block, power), lambda: K.growth_forecast(self.annual[first:t], g[first:t], g[t]))
+
+    def patterns(self, t: int, lags: int, block: tuple, clients: bool, power: bool) -> dict:
+        """The twelve months of fold t for every lambda: one stack of regressions for all of them."""
+        def make():
+            parts = [self._once(("pca", t, lam), lambda lam=lam: K.principal(self.m, t, lam, self.n_pcs)) for lam in self.lambdas]
+            firsts = self._once(("first", t, lags, block), lambda: K.score_forecasts(
+                np.stack([p[4][:, 0] for p in parts]), lags, self.inputs(block, False, False, True), self.alphas))
+            later = np.concatenate([p[4].T[1:] for p in parts])
+            rest = K.score_forecasts(later, lags, self.inputs(block, clients, power, True), self.alphas).reshape(len(parts), len(later) // len(parts))
+            return {lam: (np.concatenate([[one], more]) @ comps + mean) * sd + mu
+                    for lam, (mu, sd, mean, comps, _), one, more in zip(self.lambdas, parts, firsts, rest)}
+
+        return self._once(("pattern", t, lags, block, clients, power), make)
+
+    def folds(self, c: dict) -> tuple[list[int], list[np.ndarray]]:
+        """Test years and their predicted months under one configuration."""
+        strategy, block, clients, power = c["strategy"], c["block"], bool(c["use_clients"]), bool(c["use_pf"])
+        years, out = [], []
+        for t in range(3 if strategy == 4 else c["n_lags"], len(self.m)):
+            pattern = self.patterns(t, c["n_lags"], block, clients, power)[c["lam"]] if strategy in (1, 3) else None
+            if strategy == 1:
+                years.append(int(self.years[t]))
+                out.append(pattern)
                 continue
-            past = m[first:t]
-            g = _stack(r.growth)[:, block] if block else np.zeros((len(m), 0))
-            if block and r.use_pf:
-                g = np.column_stack([g, power.sum(axis=1)])
-            level = K.growth_forecast(annual[first:t], g[first:t], g[t])
-        elif r.strategy == 1:
-            level = None
-        else:
-            level = K.annual_forecast(annual, t, int(r.n_lags), yearly, alphas)
+            level = self.grown(t, c["window"], block, power) if strategy == 4 else self.level(t, c["n_lags"], block, clients, power)
             if level is None:
                 continue
-        curve = K.shares(past.mean(axis=0))
-        if r.strategy == 3:
-            fade = np.exp(-DECAY * (years[t] - years[:t]))
-            curve = K.shares(fade @ past)
-        if r.use_clients and r.strategy != 1 and clients[t].sum() > 0:
-            curve = (1 - r.client_weight) * curve + r.client_weight * K.shares(clients[t])
-        if r.strategy in (1, 3):
-            pattern = K.pattern_forecast(m, t, int(r.n_lags), r.lam, n_pcs, exog, monthly, alphas)
-            if r.strategy == 1:
-                out_years.append(int(years[t]))
-                out.append(pattern)
-                continue
-            curve = r.pc_weight * K.shares(pattern) + (1 - r.pc_weight) * curve
-        out_years.append(int(years[t]))
-        out.append(level * curve)
-    return out_years, out, [m[int(np.where(years == y)[0][0])] for y in out_years]
+            if strategy == 3:
+                curve = K.shares(np.exp(-DECAY * (self.years[t] - self.years[:t])) @ self.m[:t])
+            else:
+                curve = K.shares(self.m[max(0, t - c["window"]) if strategy == 4 else 0:t].mean(axis=0))
+            if clients and self.clients[t].sum() > 0:
+                curve = (1 - c["client_weight"]) * curve + c["client_weight"] * K.shares(self.clients[t])
+            if strategy == 3:
+                curve = c["pc_weight"] * K.shares(pattern) + (1 - c["pc_weight"]) * curve
+            years.append(int(self.years[t]))
+            out.append(level * curve)
+        return years, out
 
 
 def fold_predictions(packed: DataFrame, grid: DataFrame, keys, alphas=REGIONAL_ALPHAS, n_pcs: int = N_PCS) -> DataFrame:
-    """Back-test every series under every configuration; one output row per pair that has a fold."""
+    """Back-test every series under every configuration; one output row per pair that has a fold.
+
+    A series goes to Python once, with the whole grid, so that its configurations share their fits. The grid's size is
+    set by the run's options, so it is broadcast. The number of tasks is fixed: a series is few bytes and much work.
+    """
     types = dict(packed.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + (
         ", strategy int, ordinal int, annees array<bigint>, predictions array<array<double>>, actuals array<array<double>>")
 
     def run(batches):
         for pdf in batches:
-            rows = []
             for r in pdf.itertuples(index=False):
-                try:
-                    years, preds, actuals = _folds(r, list(alphas), n_pcs)
-                except np.linalg.LinAlgError:
-                    continue
-                if years:
-                    rows.append((*[getattr(r, k) for k in keys], r.strategy, r.ordinal, years, [p.tolist() for p in preds],
-                                 [a.tolist() for a in actuals]))
-            yield pd.DataFrame(rows, columns=[*keys, "strategy", "ordinal", "annees", "predictions", "actuals"])
+                rows, configs = [], [_config(c) for c in r.configs]
+                lambdas = sorted({c["lam"] for c in configs if c["lam"] is not None})
+                series = _Series(r, lambdas, list(alphas), n_pcs)
+                at = {int(y): m.tolist() for y, m in zip(series.years, series.m)}
+                for c in configs:
+                    try:
+                        years, preds = series.folds(c)
+                    except np.linalg.LinAlgError:
+                        continue
+                    if years:
+                        rows.append((*[getattr(r, k) for k in keys], c["strategy"], c["ordinal"], years, [p.tolist() for p in preds], [at[y] for y in years]))
+                yield pd.DataFrame(rows, columns=[*keys, "strategy", "ordinal", "annees", "predictions", "actuals"])
 
-    return spread(packed, grid, keys, "strategy").mapInPandas(run, schema)
+    tasks = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    options = grid.agg(F.collect_list(F.struct(*grid.columns)).alias("configs"))
+    return packed.repartition(tasks, *keys).crossJoin(F.broadcast(options)).mapInPandas(run, schema)
 
 
 def spread(packed: DataFrame, grid: DataFrame, keys, by: str) -> DataFrame:
