@@ -61,7 +61,7 @@ def test_tariffs(spark):
     df = spark.createDataFrame([(c, 2020, 1, t, v) for c, t, v in lines], "contrat bigint, annee bigint, mois bigint, type_ligne string, valeur double")
     got = {r.contrat: r for r in P.billed_power(df).collect()}
     assert got[1].puissance_facturee == pytest.approx(20.0) and got[1].tarif == "Tarif optionnel" and got[1].avertissement == ""
-    assert got[2].puissance_facturee == pytest.approx(25.0) and "non monotone" in got[2].avertissement
+    assert got[2].puissance_facturee == pytest.approx(25.0) and got[2].avertissement == "not_rising"
     assert got[3].puissance_facturee == 6.0 and got[3].tarif == "Tarif gén"
     with pytest.raises(Exception, match="invalid line set"):
         P.billed_power(df.filter("contrat = 1 and type_ligne not like '%HPL%'")).collect()

@@ -218,8 +218,8 @@ def tariff_rows(t):
 @query("billed_power_by_tariff_c20", "contrat:i annee:i mois:i tarif:s puissance_facturee:d avertissement:s",
        "select contrat, annee, mois, tarif, case when tarif = 'Tarif gén' then hp when tarif = 'Tarif optionnel' then 0.4 * hp + "
        "0.2 * hpl + 0.4 * hc else 0.2 * hsp + 0.2 * hp + 0.2 * hpl + 0.4 * hc end as puissance_facturee, case when tarif = "
-       "'Tarif gén' then '' when hc is null then label || ': valeurs manquantes' when not (hp <= hpl and hpl <= hc and (tarif = "
-       "'Tarif optionnel' or hsp <= hp)) then label || ': non monotone' else '' end as avertissement from (select contrat, annee, "
+       "'Tarif gén' then '' when hc is null then 'missing_band' when not (hp <= hpl and hpl <= hc and (tarif = "
+       "'Tarif optionnel' or hsp <= hp)) then 'not_rising' else '' end as avertissement from (select contrat, annee, "
        "mois, case when contrat % 10 = 0 then 'Tarif gén' when contrat % 10 < 3 then 'Tarif super pointe' else 'Tarif optionnel' "
        "end as tarif, puissance_facturee / 2 as hsp, puissance_facturee as hp, puissance_facturee * 2 - case when contrat % 6 = 0 "
        "then 40 else 0 end as hpl, case when contrat % 13 <> 0 then puissance_facturee * 3 end as hc, lpad(cast(mois as varchar), "

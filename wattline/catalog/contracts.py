@@ -101,8 +101,8 @@ def _(t):
 
 
 @query("contract_class_f10", "contrat:i start_year:i classe_contrat:s",
-       "select contrat, start_year, case when start_year <= 1997 then 'established' when start_year = 1998 then 'growth' else "
-       "'similarity' end as classe_contrat from contract_span", "contracts", SPAN)
+       "select contrat, start_year, case when start_year <= 1997 then 'established' when start_year = 1998 then 'growth' when start_year = 1999 then "
+       "'similarity' else 'later' end as classe_contrat from contract_span", "contracts", SPAN)
 def _(t):
     return K.contract_class(K.contract_spans(t.contracts), 1999)
 

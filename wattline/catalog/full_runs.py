@@ -5,13 +5,9 @@ from pyspark.sql import functions as F
 from wattline import names as N
 from wattline.catalog.business_rules import weather_coefficients
 from wattline.catalog.registry import query
-from wattline.models import short_term as ST
 from wattline.plans import pipelines as P
 from wattline.sources import tables as T
 
-# A lighter contract grid: the shipped one spelled out for every contract is the cluster's work.
-CONTRACT_GRID = {**ST.CONTRACT_GRID, "blocks": {"none": []}, "lambdas": [0.3], "pc_weights": [0.5], "windows": [3], "use_pf": [False]}
-
 
 def _regional(t):
     return T.load_regional(t.grd), T.distributor_scan(t.grd)
@@ -32,9 +28,9 @@ def _(t):
 
 
 @query("short_term_contracts_j02", "region:s partenaire:s contrat:i activite:s annee:i mois:i consommation:d consommation_zconhc:d consommation_zconhl:d "
-       "consommation_zconhp:d puissance_facturee:d niveau_tension:s")
+       "consommation_zconhp:d puissance_facturee:d niveau_tension:s motif:s")
 def _(t):
-    return P.short_term_contracts(t.contracts, t.exogenous, 2001, CONTRACT_GRID)
+    return P.short_term_contracts(t.contracts, t.exogenous, 2001)
 
 
 @query("long_term_regional_j03", "region:s annee:i consommation:d")
@@ -65,7 +61,7 @@ def _(t):
 
 @query("full_contracts_short_term_j06", "Region:s Partenaire:s Contrat:i Activity:s Year:i Month:i Consommation_Total:d Puissance_Facturee:d Niveau_tension:s")
 def _(t):
-    return P.full_contracts(t.contracts, t.exogenous, 2001, CONTRACT_GRID)[0]
+    return P.full_contracts(t.contracts, t.exogenous, 2001)[0]
 
 
 @query("corrected_forecasts_j07", "region:s annee:i consommation:d meteo:d ev:d ajuste_ev:d")

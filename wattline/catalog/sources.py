@@ -8,7 +8,16 @@ from wattline.functions import columns as C
 from wattline.session import scratch_path
 from wattline.sources import sheets as S, tables as T
 
-LABELS = S.month_labels(1995, 2001)
+
+def years_of(df) -> list[int]:
+    """The years of a table, first to last."""
+    lo, hi = df.agg(F.min(N.ANNEE), F.max(N.ANNEE)).first()
+    return [] if lo is None else list(range(int(lo), int(hi) + 1))
+
+
+def labels_of(df) -> list[str]:
+    years = years_of(df)
+    return S.month_labels(years[0], years[-1]) if years else []
 
 
 @query("regional_scan_a01", "region:s classe:s annee:i mois:i activite:s consommation_kwh:d",
@@ -125,13 +134,18 @@ def _(t):
     return T.append_into_new(old, rows.filter(F.col(N.ANNEE) >= 2001), new, [N.REGION, N.ANNEE, N.MOIS])
 
 
+def region_names(t) -> list[str]:
+    """The regions, one file or sheet each."""
+    return sorted(r[0] for r in t.raw("region").select("r_name").collect())
+
+
 @query("combine_sheets_a13", "City:s annee:i mois:i apparent_temperature_min:d apparent_temperature_max:d",
        "select region as City, annee, mois, apparent_temperature_min, case when region in ('AFRICA', 'ASIA') then "
        "apparent_temperature_max end as apparent_temperature_max from weather", "weather")
 def _(t):
     w = t.weather
     sheets = {}
-    for region in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"):
+    for region in region_names(t):
         cols = [N.ANNEE, N.MOIS, "apparent_temperature_min"] + (
             ["apparent_temperature_max"] if region in ("AFRICA", "ASIA") else [])
         sheets[region] = w.filter(F.col(N.REGION) == region).select(*cols)
@@ -139,16 +153,17 @@ def _(t):
 
 
 @query("gather_region_files_a14", "region:s activite:s annee:i consommation_kwh:d",
-       "select region, activite, annee, sum(consommation_kwh) as consommation_kwh from cd where annee between 1998 "
-       "and 2000 and region <> 'MIDDLE EAST' group by 1, 2, 3", "cd", scale=2)
+       "select k.region, k.activite, y as annee, c.v as consommation_kwh from (select distinct region, activite from cd) k cross join "
+       "(select unnest(range(min(annee), max(annee) + 1)) as y from cd) ys left join (select region, activite, annee, sum(consommation_kwh) as v from cd "
+       "group by 1, 2, 3) c on c.region = k.region and c.activite = k.activite and c.annee = y", "cd", scale=2)
 def _(t):
-    years = [1998, 1999, 2000]
+    years = years_of(t.cd)
     root = scratch_path(t.spark, "regions")
     wide = t.cd.groupBy(N.REGION, N.ACTIVITE).pivot(N.ANNEE, years).agg(F.sum(N.CONSO))
     schema = "activite string, " + ", ".join(f"`{y}` double" for y in years)
-    for region in ("AFRICA", "AMERICA", "ASIA", "EUROPE"):
-        T.write_csv(wide.filter(F.col(N.REGION) == region).drop(N.REGION), f"{root}/results_{region}.csv")
-    files = T.gather_region_files(t.spark, root, schema, r"^results_(\w+)\.csv$")
+    for region in region_names(t):
+        T.write_csv(wide.filter(F.col(N.REGION) == region).drop(N.REGION), f"{root}/results_{region.replace(' ', '_')}.csv")
+    files = T.gather_region_files(t.spark, root, schema, r"^results_(\w+)\.csv$").withColumn(N.REGION, F.translate(N.REGION, "_", " "))
     return S.melt(files, [N.REGION, N.ACTIVITE], [str(y) for y in years], N.ANNEE, N.CONSO)
 
 
@@ -195,11 +210,11 @@ def _(t):
 
 def raw_sheet(t):
     """A wide raw sheet: ``<activity> : <city>`` rows, ``metric__MM.YYYY`` columns, subtotal rows."""
-    label = F.concat(F.col(N.ACTIVITE), F.lit(" : DR "), F.col(N.REGION))
-    long = t.grd.filter((F.col(N.GRD) == N.SRM) & F.col(N.ACTIVITE).isNotNull() & (F.col(N.REGION) != "MIDDLE EAST"))
-    keyed = long.withColumn("site", label)
-    kwh = S.pivot_months(keyed, ["site", N.CLASSE], N.CONSO, LABELS, "KWh__")
-    clients = S.pivot_months(keyed, ["site", N.CLASSE], N.CLIENTS, LABELS, "NB_CLIENTS__")
+    label = F.concat(F.col(N.ACTIVITE), F.lit(" : DR "), F.translate(N.REGION, " ", "_"))
+    long = t.grd.filter((F.col(N.GRD) == N.SRM) & F.col(N.ACTIVITE).isNotNull())
+    keyed, labels = long.withColumn("site", label), labels_of(t.grd)
+    kwh = S.pivot_months(keyed, ["site", N.CLASSE], N.CONSO, labels, "KWh__")
+    clients = S.pivot_months(keyed, ["site", N.CLASSE], N.CLIENTS, labels, "NB_CLIENTS__")
     rows = kwh.join(clients, ["site", N.CLASSE])
     subtotal = rows.withColumn("site", F.concat(F.lit("Somme "), F.col("site")))
     return rows.unionByName(subtotal).drop(N.CLASSE)
@@ -207,11 +222,11 @@ def raw_sheet(t):
 
 @query("wide_sheet_to_monthly_a17", "region:s activite:s annee:i mois:i MWh:d nbr_clients:d",
        "select case region when 'AFRICA' then 'Afrique' when 'AMERICA' then 'Amerique' when 'ASIA' then 'Asie' "
-       "else 'Europe' end as region, case activite when 'AUTOMOBILE' then 'Auto' when 'BUILDING' then 'Batiment' "
+       "when 'EUROPE' then 'Europe' else 'Orient' end as region, case activite when 'AUTOMOBILE' then 'Auto' when 'BUILDING' then 'Batiment' "
        "when 'FURNITURE' then 'Meuble' when 'HOUSEHOLD' then 'Menage' else 'Machine' end as activite, y as annee, "
        "m as mois, coalesce(mwh, 0) as MWh, coalesce(n, 0) as nbr_clients from (select distinct region, activite from "
-       "grd where activite is not null and grd = 'SRM' and region <> 'MIDDLE EAST') k cross join range(1995, 2002) "
-       "ys(y) cross join range(1, 13) ms(m) left join (select region, activite, annee, mois, sum(consommation_kwh) / "
+       "grd where activite is not null and grd = 'SRM') k cross join (select unnest(range(min(annee), max(annee) + 1)) as y from grd) "
+       "ys cross join range(1, 13) ms(m) left join (select region, activite, annee, mois, sum(consommation_kwh) / "
        "1000 as mwh, sum(nbr_clients) as n from grd where grd = 'SRM' and activite is not null group by 1, 2, 3, 4) g "
        "on g.region = k.region and g.activite = k.activite and g.annee = y and g.mois = m".replace(
            "select case region", "select case k.region").replace("case activite when", "case k.activite when"), "grd", scale=5)
@@ -223,9 +238,9 @@ def _(t):
         .when(F.col("a") == "FURNITURE", "Meuble").when(F.col("a") == "HOUSEHOLD", "Menage")
         .when(F.col("a") == "MACHINERY", "Machine").alias("label"))
     cities = t.raw("region").select(
-        F.col("r_name").alias("city"),
+        F.translate("r_name", " ", "_").alias("city"),
         F.when(F.col("r_name") == "AFRICA", "Afrique").when(F.col("r_name") == "AMERICA", "Amerique")
-        .when(F.col("r_name") == "ASIA", "Asie").when(F.col("r_name") == "EUROPE", "Europe").alias("label"))
+        .when(F.col("r_name") == "ASIA", "Asie").when(F.col("r_name") == "EUROPE", "Europe").otherwise("Orient").alias("label"))
     values = [c for c in sheet.columns if "__" in c]
     wide = S.sheet_to_monthly(sheet, "site", values, activities, cities)
     return wide.select(N.REGION, N.ACTIVITE, N.ANNEE, N.MOIS, (F.col("KWh") / 1000).alias("MWh"),
@@ -235,11 +250,11 @@ def _(t):
 @query("sales_and_use_a18", "partenaire:s contrat:i activite:s annee:i mois:i ventes:d consommation:d",
        "select c.partenaire, c.contrat, c.activite, y as annee, m as mois, coalesce(ventes, 0) as ventes, "
        "coalesce(consommation, 0) as consommation from (select distinct partenaire, contrat, activite from cd) c "
-       "cross join range(1999, 2001) ys(y) cross join range(1, 13) ms(m) left join (select contrat, annee, mois, "
+       "cross join (select unnest(range(min(annee), max(annee) + 1)) as y from cd) ys cross join range(1, 13) ms(m) left join (select contrat, annee, mois, "
        "sum(puissance_facturee) as ventes, sum(consommation_kwh) as consommation from cd group by 1, 2, 3) g "
        "on g.contrat = c.contrat and g.annee = y and g.mois = m", "cd", scale=2)
 def _(t):
-    keys, labels = [N.PARTENAIRE, N.CONTRAT, N.ACTIVITE], S.month_labels(1999, 2000)
+    keys, labels = [N.PARTENAIRE, N.CONTRAT, N.ACTIVITE], labels_of(t.cd)
     sales = S.pivot_months(t.cd, keys, N.PF, labels)
     use = S.pivot_months(t.cd, keys, N.CONSO, labels)
     return S.sales_and_use(sales, use, keys, labels)

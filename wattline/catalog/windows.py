@@ -120,11 +120,11 @@ def _(t):
 @query("annual_change_from_ratios_e08", "activite:s annee:i change:d change_prev:d",
        "select c.activite, c.annee, sum(c.v) / sum(p.v) as change, sum(c.v / p.v * p.v) / sum(p.v) as change_prev from m c join m p on "
        "p.activite = c.activite and p.annee = c.annee - 1 and p.mois = c.mois join k kc on kc.activite = c.activite and kc.annee = c.annee "
-       "join k kp on kp.activite = c.activite and kp.annee = c.annee - 1 and kp.n = kc.n where c.annee between 1996 and 2000 group by 1, 2", "cd",
+       "join k kp on kp.activite = c.activite and kp.annee = c.annee - 1 and kp.n = kc.n group by 1, 2", "cd",
        MON + ", k as (select activite, annee, count(*) as n from m group by 1, 2)",
        scale=6)
 def _(t):
-    ratios = L.same_month_ratio(monthly(t), [N.ACTIVITE], "v").filter(F.col(N.ANNEE).between(1996, 2000))
+    ratios = L.same_month_ratio(monthly(t), [N.ACTIVITE], "v")
     return X.annual_change(ratios, [N.ACTIVITE], "v")
 
 

@@ -173,7 +173,11 @@ def run_long_term(packed: DataFrame, columns, blocks, keys, grid: dict = REGIONA
 
 # Autoregression orders on differenced annual series.
 
-def autoregression_search(packed: DataFrame, keys, orders=((1, 0), (2, 0), (1, 1), (2, 1)), hold_out: int = 2) -> DataFrame:
+# fixed values: the widest of the shipped order grids, p 0 to 3 and d 0 to 2
+ORDERS = tuple((p, d) for d in range(3) for p in range(4))
+
+
+def autoregression_search(packed: DataFrame, keys, orders=ORDERS, hold_out: int = 2) -> DataFrame:
     """AR(p) on d-th differences by least squares per series and order: AIC and hold-out error of the last years."""
     types = dict(packed.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", ordre int, p int, d int, aic double, mape double"
@@ -185,11 +189,14 @@ def autoregression_search(packed: DataFrame, keys, orders=((1, 0), (2, 0), (1, 1
         x = np.column_stack([np.ones(len(train) - p)] + [train[p - k:len(train) - k] for k in range(1, p + 1)])
         beta = np.linalg.lstsq(x, train[p:], rcond=None)[0]
         n, sse = len(x), max(((train[p:] - x @ beta) ** 2).sum(), 1e-12)
-        z, level, preds = list(train), list(y[:-hold_out]), []
+        z, preds = list(train), []
+        last = [np.diff(y[:-hold_out], i)[-1] for i in range(d)]  # newest value of each difference below the d-th
         for _ in range(hold_out):
             z.append(beta[0] + sum(beta[k] * z[-k] for k in range(1, p + 1)))
-            level.append(z[-1] if d == 0 else level[-1] + z[-1])
-            preds.append(level[-1])
+            step = z[-1]
+            for i in range(d - 1, -1, -1):
+                last[i] = step = last[i] + step
+            preds.append(step)
         real = y[-hold_out:]
         return n * np.log(sse / n) + 2 * (p + 2), np.mean(np.abs((real - preds) / real)) * 100 if (real != 0).all() else np.nan
 

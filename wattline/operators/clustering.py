@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from wattline import names as N
 
+MAX_ITERATIONS = 300  # fixed value: the source programs' solver default; runs stop earlier when centres settle
+
 
 def yearly_columns(df: DataFrame, key: str, value: str, years) -> DataFrame:
     """One row per key, one column per year; absent years are 0."""
@@ -26,7 +28,7 @@ def kmeans_sweep(wide: DataFrame, cols, ks=range(2, 11), seed: int = 42) -> Data
     stages = [VectorAssembler(inputCols=list(cols), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
     data = materialize(Pipeline(stages=stages).fit(wide).transform(wide).select("features"), "scaled")
     judge = ClusteringEvaluator()
-    rows = [(int(k), float(judge.evaluate(KMeans(k=int(k), seed=seed, maxIter=20).fit(data).transform(data)))) for k in ks]
+    rows = [(int(k), float(judge.evaluate(KMeans(k=int(k), seed=seed, maxIter=MAX_ITERATIONS).fit(data).transform(data)))) for k in ks]
     return wide.sparkSession.createDataFrame(rows, "k int, silhouette double")
 
 
@@ -34,7 +36,7 @@ def mixed_clusters(profiles: DataFrame, category: str, cols, k: int = 6, seed: i
     """Clusters over a category and numeric columns: the category one-hot next to scaled numbers."""
     stages = [StringIndexer(inputCol=category, outputCol="_i", handleInvalid="keep"), OneHotEncoder(inputCol="_i", outputCol="_onehot"),
               VectorAssembler(inputCols=list(cols), outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_num", withMean=True),
-              VectorAssembler(inputCols=["_num", "_onehot"], outputCol="features"), KMeans(k=k, seed=seed, predictionCol="cluster", maxIter=20)]
+              VectorAssembler(inputCols=["_num", "_onehot"], outputCol="features"), KMeans(k=k, seed=seed, predictionCol="cluster", maxIter=MAX_ITERATIONS)]
     return Pipeline(stages=stages).fit(profiles).transform(profiles).drop("_i", "_onehot", "_raw", "_num", "features")
 
 

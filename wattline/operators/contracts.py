@@ -141,9 +141,9 @@ def widen_dates(df: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def contract_class(spans: DataFrame, year: int) -> DataFrame:
-    """Forecast route of a contract: established, growing or new in ``year``."""
+    """Forecast route of a contract: established, growing or new in ``year``; one that starts later has none yet."""
     s = F.col("start_year")
-    return spans.withColumn("classe_contrat", F.when(s <= year - 2, "established").when(s == year - 1, "growth").otherwise("similarity"))
+    return spans.withColumn("classe_contrat", F.when(s <= year - 2, "established").when(s == year - 1, "growth").when(s == year, "similarity").otherwise("later"))
 
 
 def use_before_start(df: DataFrame, spans: DataFrame) -> DataFrame:

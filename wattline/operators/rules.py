@@ -199,15 +199,18 @@ def blend_curves(mean: DataFrame, client: DataFrame, keys, weight: float) -> Dat
     return joined.withColumn("part", F.when(usable, (1 - weight) * F.col("part") + weight * F.col("_c")).otherwise(F.col("part"))).drop("_c")
 
 
-def with_placeholder_year(monthly: DataFrame, keys, evaluation_year: int, value: str) -> DataFrame:
-    """Copy the last year as ``evaluation_year`` when that is the next one; a wider gap fails the job."""
+def with_placeholder_year(monthly: DataFrame, keys, evaluation_year: int, value: str, carried=()) -> DataFrame:
+    """Copy the last year as ``evaluation_year`` when that is the next one; a wider gap fails the job.
+
+    ``carried`` names further columns that the copy takes along.
+    """
     last = monthly.groupBy(*keys).agg(F.max(N.ANNEE).alias("_last"))
     rows = monthly.join(last, list(keys))
     gap = F.lit(evaluation_year) - F.col("_last")
     copied = rows.filter((F.col(N.ANNEE) == F.col("_last")) & (gap >= 1)).withColumn(
         N.ANNEE, F.when(gap == 1, F.lit(evaluation_year)).otherwise(
             F.raise_error(F.lit("evaluation year lies more than one year after the data")).cast("int")).cast("bigint"))
-    cols = [*keys, N.ANNEE, N.MOIS, value]
+    cols = [*keys, N.ANNEE, N.MOIS, value, *carried]
     return monthly.select(*cols).withColumn("is_placeholder", F.lit(False)).unionByName(
         copied.select(*cols).withColumn("is_placeholder", F.lit(True)))
 

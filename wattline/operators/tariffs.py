@@ -64,14 +64,12 @@ def billed_power(rows: DataFrame, value: str = "valeur") -> DataFrame:
              .otherwise(F.raise_error(F.concat(F.lit("invalid line set: "), F.array_join("lignes", ","))).cast("string")))
 
     def note(weights):
-        month_key = F.format_string("%02d.%04d", F.col(N.MOIS), F.col(N.ANNEE))
-        return F.when(_weighted(weights).isNull(), F.concat(month_key, F.lit(": valeurs manquantes"))).when(
-            ~_rising(weights), F.concat(month_key, F.lit(": non monotone")))
+        return F.when(_weighted(weights).isNull(), "missing_band").when(~_rising(weights), "not_rising")
 
     is_opt, is_sup = F.col("tarif") == OPTIONAL_LABEL, F.col("tarif") == SUPER_PEAK_LABEL
     power = F.when(is_opt, _weighted(OPTIONAL)).when(is_sup, _weighted(SUPER_PEAK)).otherwise(F.col("moyenne"))
     warning = F.when(is_opt, note(OPTIONAL)).when(is_sup, note(SUPER_PEAK)).when(
-        F.size("lignes") > 1, F.lit("'Tarif Gén' prioritaire"))
+        F.size("lignes") > 1, "general_line_wins")
     return (monthly.join(tariff, N.CONTRAT).withColumn("tarif", label)
             .select(*keys, "tarif", power.alias(N.PF), F.coalesce(warning, F.lit("")).alias("avertissement")))
 

@@ -147,7 +147,7 @@ def pooled_elastic_net(rows: DataFrame, y: str, alpha: float, l1: float) -> Data
     from pyspark.ml.regression import LinearRegression
 
     data = VectorAssembler(inputCols=list(X), outputCol="features").transform(rows.select(*X, F.col(y).alias("label")))
-    model = LinearRegression(regParam=alpha, elasticNetParam=l1, maxIter=50).fit(data)
+    model = LinearRegression(regParam=alpha, elasticNetParam=l1, maxIter=1000).fit(data)
     values = [float(v) for v in model.coefficients]
     return rows.sparkSession.createDataFrame([(*values, float(model.intercept))],
                                              ", ".join(f"{COEF[x]} double" for x in X) + ", implicit_intercept double")

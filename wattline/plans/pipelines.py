@@ -90,7 +90,12 @@ def full_regional(regional: DataFrame, distributors: DataFrame | None, exogenous
 
 
 def short_term_contracts(contracts: DataFrame, exogenous: DataFrame, year: int, grid: dict = ST.CONTRACT_GRID, threshold: float = 0.6) -> DataFrame:
-    """Monthly forecasts of ``year`` for every contract: models for established ones, neighbours for the rest."""
+    """Twelve months of ``year`` for every live contract: models for established ones, neighbours for young ones.
+
+    A contract that cannot be forecast has twelve zeros and a reason in ``motif``: ``no_recent_data`` (established, without rows in
+    the year before), ``no_model`` (no back-test or no usable neighbour), ``starts_later``. Live means that the contract does not end
+    before ``year``.
+    """
     spans = materialize(K.contract_spans(contracts), "spans")
     live = spans.filter(F.col("finish_year") >= year)
     routed = K.contract_class(live, year)
@@ -101,7 +106,7 @@ def short_term_contracts(contracts: DataFrame, exogenous: DataFrame, year: int,
         F.col(N.ANNEE) >= F.col("_from")).drop("_from")
     last = established.groupBy(N.CONTRAT).agg(F.max(N.ANNEE).alias("_last")).filter(F.col("_last") == year - 1).drop("_last")
     rows = established.join(last, N.CONTRAT, "left_semi").select(N.CONTRAT, N.ANNEE, N.MOIS, F.col(N.CONSO).alias(V), N.PF)
-    placed = R.with_placeholder_year(rows, key, year, V).join(rows.select(*key, N.ANNEE, N.MOIS, N.PF), [*key, N.ANNEE, N.MOIS], "left")
+    placed = R.with_placeholder_year(rows, key, year, V, [N.PF])
     levels, growth, growth_cols = _features(T.exogenous_national(exogenous), [], year)
     packed = ST.pack_series(placed, key, V, levels, GDP, growth, growth_cols, power=N.PF, fill_gaps=True)
     models = ST.run_short_term(packed, key, grid, ST.CONTRACT_ALPHAS, threshold, placeholder_year=year)
@@ -110,16 +115,23 @@ def short_term_contracts(contracts: DataFrame, exogenous: DataFrame, year: int,
     ahead = non_negative_forecast(ahead, rows.select(*key, N.ANNEE, N.MOIS, V), key, V)
 
     profiles = materialize(B.with_scope(B.power_profiles(contracts, year), contracts), "profiles")
-    young = routed.filter("classe_contrat <> 'established'")
+    young = routed.filter("classe_contrat in ('growth', 'similarity')")
     near = materialize(B.nearest(profiles.join(young, N.CONTRAT, "left_semi"), profiles), "near")
     classes = young.select(N.CONTRAT, "classe_contrat")
     growing = B.growth_forecast(near.join(classes.filter("classe_contrat = 'growth'"), N.CONTRAT, "left_semi"), tested, contracts, year)
     new = B.similarity_forecast(near.join(classes.filter("classe_contrat = 'similarity'"), N.CONTRAT, "left_semi"), tested, year)
     cols = [N.CONTRAT, N.ANNEE, N.MOIS, V]
-    young_rows = B.with_empty_results(young, growing.select(*cols).unionByName(new.select(*cols)), year)
-    forecast = ahead.select(*cols).unionByName(young_rows.withColumn(V, F.coalesce(V, F.lit(0.0))).select(*cols))
+    found = ahead.select(*cols).unionByName(growing.select(*cols)).unionByName(new.select(*cols))
+    recent = last.withColumn("_recent", F.lit(True))
+    why = (F.when(F.col("classe_contrat") == "later", "starts_later")
+           .when((F.col("classe_contrat") == "established") & F.col("_recent").isNull(), "no_recent_data").otherwise("no_model"))
+    reasons = routed.join(recent, N.CONTRAT, "left").select(N.CONTRAT, why.alias("_why"))
+    whole = B.with_empty_results(routed, found, year).join(reasons, N.CONTRAT)
+    forecast = materialize(whole.select(N.CONTRAT, N.ANNEE, N.MOIS, F.coalesce(V, F.lit(0.0)).alias(V),
+                                        F.when(F.col("sans_resultat"), F.col("_why")).alias("motif")), "contract-forecast")
     attributes = R.first_attributes(contracts, [N.REGION, N.PARTENAIRE, N.ACTIVITE])
-    return R.split_bands(forecast, contracts).join(attributes, N.CONTRAT, "left")
+    return (R.split_bands(forecast.drop("motif"), contracts).join(attributes, N.CONTRAT, "left")
+            .join(forecast.select(N.CONTRAT, N.MOIS, "motif"), [N.CONTRAT, N.MOIS]))
 
 
 def contract_driver_features(contracts: DataFrame, exogenous: DataFrame, entity: str, end_year: int) -> DataFrame:

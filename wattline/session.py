@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
-_local_scratch: dict[str, str] = {}
+_runs: list[list[str]] = []
 
 
-def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
+def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "12g", scratch: str | None = None) -> SparkSession:
     """A single-JVM session for tests and the benchmark; clusters bring their own."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("wattline")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -20,8 +21,10 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -29,31 +32,47 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only a local session, where driver and executors share one disk, may fall back to a
-    temporary folder.
+    Where that is unset, intermediate tables go below the warehouse, which all executors share as well.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_scratch:
-        _local_scratch[app] = tempfile.mkdtemp(prefix="wattline-")
-    return _local_scratch[app]
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def _file(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder, never reused, so a rerun overwrites nothing."""
-    return f"{shared_dir(spark)}/wattline/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, never reused, so a rerun overwrites nothing.
+
+    It is deleted when the driver's JVM ends, or with the ``scratch_run`` it belongs to.
+    """
+    path = f"{shared_dir(spark)}/wattline/{label}-{uuid.uuid4().hex}"
+    where, fs = _file(spark, path)
+    fs.deleteOnExit(where)
+    if _runs:
+        _runs[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables made inside it; results must be written or collected before it ends."""
+    _runs.append([])
+    try:
+        yield
+    finally:
+        for path in _runs.pop():
+            where, fs = _file(spark, path)
+            fs.delete(where, True)
 
 
-def materialize(df, label: str):
+def materialize(df, label: str, partition_by=()):
     """Write ``df`` to the shared folder and read it back.
 
     Used where a later step reads a costly result more than once; the written table survives
     the loss of executors, unlike a cached or locally checkpointed one.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
