@@ -117,14 +117,17 @@ class Tables:
     @cached_property
     def weather(self) -> DataFrame:
         """Daily weather per region."""
+        per_supplier = self.raw("lineitem").groupBy("l_suppkey", F.to_date("l_shipdate").alias("date_jour")).agg(
+            F.min("l_quantity").alias("_min"), F.max("l_quantity").alias("_max"), F.sum("l_quantity").alias("_sum"),
+            F.count("l_quantity").alias("_n"), F.sum("l_tax").alias("_tax"), F.sum("l_discount").alias("_discount"))
         return (
-            self.raw("lineitem").join(self.suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-            .groupBy(N.REGION, F.to_date("l_shipdate").alias("date_jour"))
-            .agg((F.min("l_quantity") - 5).alias("apparent_temperature_min"),
-                 F.avg("l_quantity").alias("apparent_temperature_mean"),
-                 F.max("l_quantity").alias("apparent_temperature_max"),
-                 F.sum("l_tax").alias("precipitation_sum"),
-                 F.sum("l_discount").alias("et0_fao_evapotranspiration_sum"))
+            per_supplier.join(self.suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+            .groupBy(N.REGION, "date_jour")
+            .agg((F.min("_min") - 5).alias("apparent_temperature_min"),
+                 (F.sum("_sum") / F.nullif(F.sum("_n"), F.lit(0))).alias("apparent_temperature_mean"),
+                 F.max("_max").alias("apparent_temperature_max"),
+                 F.sum("_tax").alias("precipitation_sum"),
+                 F.sum("_discount").alias("et0_fao_evapotranspiration_sum"))
             .select(N.REGION, "date_jour", _year("date_jour").alias(N.ANNEE), _month("date_jour").alias(N.MOIS),
                     "apparent_temperature_min", "apparent_temperature_mean", "apparent_temperature_max",
                     "precipitation_sum", "et0_fao_evapotranspiration_sum"))

@@ -71,19 +71,28 @@ def sales_and_use(sales: DataFrame, use: DataFrame, keys, labels) -> DataFrame:
     return long(sales, "ventes").join(long(use, "consommation"), [*keys, N.MOIS, N.ANNEE], "left")
 
 
+GROUP_BLOCKS = 10_000
+
+
 def forward_fill(df: DataFrame, order_col: str, value_cols, block_rows: int = 1_000_000) -> DataFrame:
     """Carry the last non-null value down a sheet ordered by ``order_col``.
 
-    The sheet is cut into blocks of consecutive row numbers. Each block's last value is found by an
-    aggregate, carried over the (few) blocks by a window, and joined back, so no task sees the whole sheet.
+    The sheet is cut into blocks of consecutive row numbers, and those into groups. The last value of each block and
+    group is found by an aggregate, carried over the blocks of a group and over the groups by windows, and joined back:
+    a window holds a block, a group of blocks, or one row for each ``block_rows * GROUP_BLOCKS`` rows of the sheet.
     """
     from pyspark.sql import Window as W
 
     blocked = df.withColumn("_block", F.floor(F.col(order_col) / block_rows))
     last = blocked.groupBy("_block").agg(*[
         F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order_col))).alias(f"_last_{c}") for c in value_cols])
-    over = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    carry = last.select("_block", *[F.last(f"_last_{c}", ignorenulls=True).over(over).alias(f"_carry_{c}") for c in value_cols])
+    last = last.withColumn("_group", F.floor(F.col("_block") / GROUP_BLOCKS))
+    ends = last.groupBy("_group").agg(*[F.max_by(f"_last_{c}", F.when(F.col(f"_last_{c}").isNotNull(), F.col("_block"))).alias(f"_end_{c}") for c in value_cols])
+    groups = W.orderBy("_group").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select("_group", *[F.last(f"_end_{c}", ignorenulls=True).over(groups).alias(f"_from_{c}") for c in value_cols])
+    blocks = W.partitionBy("_group").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carry = last.join(ends, "_group").select(
+        "_block", *[F.coalesce(F.last(f"_last_{c}", ignorenulls=True).over(blocks), F.col(f"_from_{c}")).alias(f"_carry_{c}") for c in value_cols])
     inside = W.partitionBy("_block").orderBy(order_col).rowsBetween(W.unboundedPreceding, 0)
     filled = blocked.join(carry, "_block", "left")
     for c in value_cols:
