@@ -64,9 +64,27 @@ def _(t):
     return P.full_contracts(t.contracts, t.exogenous, 2001)[0]
 
 
-@query("corrected_forecasts_j07", "region:s annee:i consommation:d meteo:d ev:d ajuste_ev:d")
-def _(t):
+def _corrected(t):
     monthly = P.regional_series(*_regional(t), levels=(0,))
     ltf = P.long_term_regional(monthly, t.exogenous, 1999, horizon=2)
     stf = monthly.filter(F.col(N.ANNEE) == 2000).drop(N.ACTIVITE)
-    return P.corrected_forecasts(stf, ltf, t.weather, t.weather_diff, weather_coefficients(t), t.ev)[1]
+    return P.corrected_forecasts(stf, ltf, t.weather, t.weather_diff, weather_coefficients(t), t.ev)
+
+
+@query("corrected_forecasts_j07", "region:s annee:i consommation:d meteo:d ev:d ajuste_ev:d")
+def _(t):
+    return _corrected(t)[1]
+
+
+@query("corrected_monthly_forecasts_j07", "region:s annee:i mois:i consommation:d meteo:d ev:d ajuste_ev:d")
+def _(t):
+    return _corrected(t)[0]
+
+
+@query("corrected_monthly_inputs_j07", "region:s annee:i mois:i consommation:d ecart:d",
+       "select region, annee, mois, sum(v) as consommation, 0.0 as ecart from (select region, annee, mois, consommation_kwh as v from grd where (classe = 'Total' "
+       "or grd <> 'SRM') and annee = 2000) x group by 1, 2, 3", "grd", scale=2)
+def _(t):
+    """The months that corrections start from; each corrected value is its input plus the correction."""
+    rows = _corrected(t)[0]
+    return rows.select(N.REGION, N.ANNEE, N.MOIS, "consommation", F.abs(F.col("ajuste_ev") - F.col("consommation") - F.col("ev")).alias("ecart"))
