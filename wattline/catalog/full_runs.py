@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from wattline import names as N
 from wattline.catalog.business_rules import weather_coefficients
 from wattline.catalog.registry import query
+from wattline.models import short_term as ST
+from wattline.operators import contracts as K
 from wattline.plans import pipelines as P
 from wattline.sources import tables as T
 
@@ -33,6 +35,19 @@ def _(t):
     return P.short_term_contracts(t.contracts, t.exogenous, 2001)
 
 
+# Which contracts get rows does not depend on the grid: one configuration of each strategy will do to see it.
+_ONE_EACH = {**ST.CONTRACT_GRID, "blocks": {"none": []}, "lags": [1], "lambdas": [0.3], "pc_weights": [0.5], "windows": [3], "use_pf": [True]}
+
+
+@query("short_term_coverage_j02", "contrat:i classe_contrat:s mois:i",
+       "select contrat, case when start_year <= 1999 then 'established' when start_year = 2000 then 'growth' when start_year = 2001 then 'similarity' else 'later' "
+       "end as classe_contrat, 12 as mois from contract_span where finish_year >= 2001", "contracts", K.SPAN_SQL)
+def _(t):
+    """Every live contract with its class and its number of forecast months."""
+    months = P.short_term_contracts(t.contracts, t.exogenous, 2001, _ONE_EACH).groupBy(N.CONTRAT).agg(F.countDistinct(N.MOIS).alias(N.MOIS))
+    return months.join(K.contract_class(K.contract_spans(t.contracts), 2001), N.CONTRAT)
+
+
 @query("long_term_regional_j03", "region:s annee:i consommation:d")
 def _(t):
     monthly = P.regional_series(*_regional(t), levels=(0,))
