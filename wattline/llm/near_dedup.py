@@ -2,12 +2,13 @@
 
 1. A document's set is its distinct word shingles. Equal sets form a class with its smallest id as representative, so
    copies are one node from here on.
-2. A sketch holds the ``SKETCH`` least hashes of the set (the whole set if it is smaller). Retained values are put in
-   one global order, rare ones first (by counters of fixed size; ties by value). Two sets at the threshold share so
-   many retained values that they meet in the first part of that order, the prefix (see ``_prefix_length``).
+2. A sketch holds the ``SKETCH`` least hashes of the set (the whole set if it is smaller). Retained values are counted
+   and put in one global order, rare ones first. Two sets at the threshold share so many retained values that they meet
+   in the first part of that order, the prefix (see ``_prefix_length``).
 3. Inverted lists of prefix values give the candidates. A list does not become all its pairs: its most central member
-   is compared with the others, links are joined into components, and only lists that still span several components
-   go on, to a second centre and then to their pairs across components.
+   is compared with the others, links are joined into components, and the next most central one is compared with
+   those of other components. Documents of lists that still span several
+   components go on to an exact prefix join of their full sets, with length and positional bounds, across components.
 4. The union's sketch estimates the similarity; pairs clearly below the threshold go. The rest are confirmed on full
    sets. Components of the confirmed links are the groups.
 
@@ -22,17 +23,17 @@ import secrets
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wattline.llm import bitset, components as cc, kit, textkit as tk
 
 SHINGLE = 3
 SKETCH = 64
 NUMERATOR, DENOMINATOR = 85, 100
-LEVEL_BITS = 22
+FILTER_BITS = 26
 ROUNDS = 2
+SIZE_STEP = 1.02
 _WORDS, _LOWER = tk.space_table(), tk.lower_table()
 _LAST = (1 << 63) - 1
 _NONE = np.uint64((1 << 64) - 1)
@@ -72,62 +73,55 @@ def sketches(docs: DataFrame, k: int, size: int) -> DataFrame:
     return docs.mapInArrow(make, "uid string, doc_id long, th long, n long, f1 long, f2 long, sketch array<long>")
 
 
-def _levels(values: DataFrame, bits: int) -> np.ndarray:
-    """Rarity level (0 to 255, logarithmic) of each of ``2**bits`` counters; 2**bits bytes reach the driver."""
-    block = 16
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(1 << block, dtype=np.uint8)
-        out[pdf["low"].to_numpy()] = np.minimum(255, np.round(4 * np.log2(pdf["n"].to_numpy(dtype=float))))
-        return pd.DataFrame({"block": pdf["block"][:1], "levels": [out.tobytes()]})
-
-    cell = F.col("v").bitwiseAND(F.lit((1 << bits) - 1)).alias("cell")
-    counts = values.select(cell).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    rows = (counts.select(F.shiftright("cell", block).alias("block"), F.col("cell").bitwiseAND(F.lit((1 << block) - 1)).alias("low"), "n")
-            .groupBy("block").applyInPandas(pack, "block long, levels binary").toArrow())
-    out = np.zeros(1 << bits, dtype=np.uint8)
-    for b, levels in zip(rows["block"].to_pylist(), rows["levels"].to_pylist()):
-        out[b << block:(b + 1) << block] = np.frombuffer(levels, dtype=np.uint8)
-    return out
-
-
-def _prefix_length(n: int, size: int, numerator: int, denominator: int, shared: float) -> int:
+def _prefix_length(size: int, numerator: int, denominator: int, shared: float) -> Column:
     """Values to list so that sets at the threshold meet.
 
     Small sets are their own sketches, and so are all sets they may be linked to: ``n - ceil(t n) + 1``. Of a full sketch
     at least ``shared`` of the values are in the other sketch: five standard deviations below the threshold.
     """
-    if n * denominator <= size * numerator:
-        return n - -(-n * numerator // denominator) + 1
-    kept = min(n, size)
-    return kept - int(shared * kept) + 1
+    n, kept = F.col("n"), F.least("n", F.lit(size))
+    return F.when(n * denominator <= size * numerator, n - F.ceil(n * numerator / denominator) + 1).otherwise(
+        kept - F.floor(kept * shared) + 1)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and values of a column of lists of 64-bit values, or of their bytes."""
+    if pa.types.is_list(column.type):
+        ends = column.offsets.to_numpy()
+        return ends - ends[0], column.values.to_numpy()[ends[0]:ends[-1]]
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    return (ends - ends[0]) // 8, np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0]:ends[-1]].view(np.int64)
+
 
+def ranked(sets: DataFrame, values: str, kept: Column, bits: int = FILTER_BITS) -> DataFrame:
+    """(rep, n, v, score, at): the values that several sets hold, and their place in the set's order of rarity.
 
-def postings(reps: DataFrame, size: int, numerator: int, denominator: int, shared: float, level_bits: int) -> DataFrame:
-    """(v, rep, n, score): the prefix values of each representative; a high score means common values, so a central set."""
-    values = reps.select(F.explode("sketch").alias("v"))
-    share = reps.sparkSession.sparkContext.broadcast
-    levels = share(_levels(values, level_bits))
+    ``sets`` has ``rep``, ``n``, ``f1`` and ``values``; ``kept`` is the number of values there. Values of one set alone come first in the
+    order; they are only counted. A bit set of fixed size drops most of them before values are shuffled, and the exact
+    counts drop the rest. ``score`` is high for sets of common values.
+    """
+    def cells(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            cell, n = np.unique(_flat(batch.column(0))[1] & np.int64((1 << bits) - 1), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"cell": cell, "n": n})
 
-    def pick(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    twice = sets.select(values).mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
+    flags = sets.sparkSession.sparkContext.broadcast(bitset.build(twice, "cell", bits))
+
+    def spread(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            ids, ns = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ends, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
-            rank = levels.value[flat.view(np.uint64) & np.uint64((1 << level_bits) - 1)]
-            out_v, out_rep, out_n, out_score = [], [], [], []
-            for d, (rep, n) in enumerate(zip(ids, ns)):
-                a, b = ends[d], ends[d + 1]
-                order = np.lexsort((flat[a:b], rank[a:b]))[:_prefix_length(n, size, numerator, denominator, shared)]
-                order = order[rank[a:b][order] > 0]  # a counter of one: the value is in no other sketch
-                out_v.append(flat[a:b][order])
-                out_rep.append(np.full(len(order), rep))
-                out_n.append(np.full(len(order), n))
-                out_score.append(np.full(len(order), int(rank[a:b].sum()) * 64 // max(1, int(b - a))))
-            if out_v:
-                yield pa.RecordBatch.from_pydict({"v": np.concatenate(out_v).astype(np.int64), "rep": np.concatenate(out_rep).astype(np.int64),
-                                                  "n": np.concatenate(out_n).astype(np.int64), "score": np.concatenate(out_score).astype(np.int64)})
-
-    return reps.select("rep", "n", "sketch").mapInArrow(pick, "v long, rep long, n long, score long")
+            ends, flat = _flat(batch.column(3))
+            of = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            ok = bitset.test(flags.value, flat)
+            of = pa.array(of[ok])
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(of) for i in range(3)] + [pa.array(flat[ok])], names=["rep", "n", "f1", "v"])
+
+    listed = kit.materialize(sets.select("rep", "n", "f1", values).mapInArrow(spread, "rep long, n long, f1 long, v long"), "near-values")
+    counts = kit.materialize(listed.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-counts")
+    own = Window.partitionBy("rep", "f1")
+    rank = F.row_number().over(own.orderBy("c", "v"))
+    return listed.join(counts, "v").select(
+        "rep", "n", "v", F.round(F.sum(F.log2("c")).over(own) / kept, 6).alias("score"), (kept - F.count(F.lit(1)).over(own) + rank - 1).alias("at"))
 
 
 def _estimate(size: int, numerator: int, denominator: int, shared: float):
@@ -170,18 +164,11 @@ def _confirm(numerator: int, denominator: int):
     return judge
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, size: int, numerator: int, denominator: int, shared: float) -> DataFrame:
-    """The pairs (a, b) of representatives that are links, by the union's sketch and then on full sets."""
-    one = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    other = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    likely = kit.materialize(
-        pairs.join(one, "b").join(other, "a").select("a", "na", "b", "nb", "sa", "sb")
-        .mapInArrow(_estimate(size, numerator, denominator, shared), "a long, b long, sure boolean"), "near-likely")
-    unsure = likely.where("not sure").select("a", "b")
-    needed = unsure.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+def full_sets(needed: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(rep, n, f1, full) of the representatives ``needed`` (``rep``): their whole sets, sorted, as 64-bit values."""
     flags = docs.sparkSession.sparkContext.broadcast(bitset.build(needed.select(F.xxhash64("rep").alias("h")), "h"))
 
-    def full(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             batch = batch.filter(pa.array(bitset.test(flags.value, batch.column(2).to_numpy())))
             for i, j, data, offsets in tk.batches(batch.column(1)):
@@ -192,13 +179,48 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, size:
                     pa.array([s.tobytes() for s in made], pa.binary())], names=["rep", "n", "f1", "full"])
 
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    sets = keyed.mapInArrow(full, "rep long, n long, f1 long, full binary").join(needed, "rep", "left_semi")
-    sets = kit.materialize(sets.join(reps.select("rep", "n", "f1"), ["rep", "n", "f1"], "left_semi").dropDuplicates(["rep", "f1"])
-                           .select("rep", "full"), "near-sets")
-    checked = (unsure.join(sets.select(F.col("rep").alias("b"), F.col("full").alias("fb")), "b")
-               .join(sets.select(F.col("rep").alias("a"), F.col("full").alias("fa")), "a")
-               .select("a", "b", "fa", "fb").mapInArrow(_confirm(numerator, denominator), "a long, b long"))
-    return likely.where("sure").select("a", "b").unionByName(checked)
+    sets = keyed.mapInArrow(make, "rep long, n long, f1 long, full binary").join(needed.distinct(), "rep", "left_semi")
+    return kit.materialize(sets.join(reps.select("rep", "n", "f1"), ["rep", "n", "f1"], "left_semi").dropDuplicates(["rep", "f1"]), "near-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    return (pairs.select("a", "b").join(sets.select(F.col("rep").alias("b"), F.col("full").alias("fb")), "b")
+            .join(sets.select(F.col("rep").alias("a"), F.col("full").alias("fa")), "a")
+            .select("a", "b", "fa", "fb").mapInArrow(_confirm(numerator, denominator), "a long, b long"))
+
+
+def likely(pairs: DataFrame, reps: DataFrame, size: int, numerator: int, denominator: int, shared: float) -> DataFrame:
+    """(a, b, sure): the pairs that the union's sketch does not rule out; sure where it decides."""
+    one = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    other = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    return kit.materialize(
+        pairs.join(one, "b").join(other, "a").select("a", "na", "b", "nb", "sa", "sb")
+        .mapInArrow(_estimate(size, numerator, denominator, shared), "a long, b long, sure boolean"), "near-likely")
+
+
+def crossing(sets: DataFrame, comps: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Candidate pairs (a, b) of full sets in different components, by an exact prefix join.
+
+    In the order of rarity the first common value of a pair stands early in both sets, the earlier the more similar in
+    size they are: with ``o`` values in common at least, at most ``n - o`` values of a set stand before it. The smaller set
+    needs only the places that a partner of its own size allows; the larger set's place bounds the partner's size, which
+    is matched in steps of ``SIZE_STEP``. So sets with more values of their own than links allow meet nobody.
+    """
+    step, both = float(np.log(SIZE_STEP)), numerator + denominator
+    placed = ranked(sets, "full", F.col("n")).where(F.col("at") < F.col("n") - F.ceil(F.col("n") * numerator / denominator) + 1)
+    listed = kit.materialize(placed.join(comps, "rep").select("v", "rep", "comp", "n", "at"), "near-crossing")
+    need = F.ceil(F.lit(numerator) * (F.col("n") + F.col("m")) / both)
+    small = listed.where((F.col("n") - F.col("at")) * both >= 2 * numerator * F.col("n")).withColumn("bucket", F.floor(F.log("n") / step))
+    most = (F.col("n") - F.col("at")) * both / numerator - F.col("n")
+    least = F.floor(F.log(F.col("n") * numerator / denominator) / step) - 1
+    large = listed.where(most >= F.col("n") * numerator / denominator - 1).select(
+        "v", F.col("rep").alias("other"), F.col("comp").alias("other_comp"), F.col("n").alias("m"), F.col("at").alias("other_at"),
+        F.explode(F.sequence(least, F.least(F.floor(F.log(F.greatest(most, F.lit(1.0))) / step) + 1, F.floor(F.log("n") / step)))).alias("bucket"))
+    met = small.join(large, ["v", "bucket"]).where(
+        (F.col("comp") != F.col("other_comp")) & ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("rep") < F.col("other"))))
+        & (F.col("n") * denominator >= F.col("m") * numerator) & (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("other_at")) >= need))
+    return _ordered(met.select(F.col("rep").alias("a"), F.col("other").alias("b")))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -206,50 +228,42 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def links(reps: DataFrame, docs: DataFrame, k: int, size: int, numerator: int, denominator: int, shared: float,
-          level_bits: int, rounds: int) -> DataFrame:
+          rounds: int) -> DataFrame:
     """Confirmed links that connect whatever all links connect."""
-    found = kit.materialize(postings(reps, size, numerator, denominator, shared, level_bits), "near-postings")
+    prefix = F.col("at") < _prefix_length(size, numerator, denominator, shared)
+    found = kit.materialize(ranked(reps, "sketch", F.least("n", F.lit(size))).where(prefix).drop("at"), "near-postings")
     close = F.least("n", "other_n") * denominator >= F.greatest("n", "other_n") * numerator
     lists = found.withColumn("comp", F.col("rep"))
-    edges = tested = None
+    edges = reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
     for turn in range(rounds + 1):
         spread = lists.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                         F.max_by(F.struct("rep", "n", "comp"), F.struct("score", -F.col("rep"))).alias("c"))
         spread = kit.materialize(spread.where("lo <> hi").select("v", F.col("c.rep").alias("other"), F.col("c.n").alias("other_n"),
                                                                  F.col("c.comp").alias("other_comp")), "near-centres")
         if spread.isEmpty():
-            break
-        if turn < rounds:
-            pairs = lists.join(spread, "v").where(close & (F.col("comp") != F.col("other_comp"))).select(F.col("other").alias("a"), F.col("rep").alias("b"))
-        else:
-            left = kit.materialize(lists.join(spread.select("v"), "v", "left_semi"), "near-open")
-            right = left.select("v", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"))
-            pairs = left.join(right, "v").where(close & (F.col("rep") < F.col("other")) & (F.col("comp") != F.col("other_comp"))).select(
-                F.col("rep").alias("a"), F.col("other").alias("b"))
-        pairs = _ordered(pairs)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = kit.materialize(pairs, "near-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = kit.materialize(confirmed(pairs, reps, docs, k, size, numerator, denominator, shared), "near-links")
-        edges = new if edges is None else edges.unionByName(new)
+            return edges
         if turn == rounds:
-            break
-        named = kit.materialize(cc.components(edges), "near-labels")
-        lists = (lists.drop("comp").join(named.withColumnRenamed("node", "rep"), "rep", "left")
-                 .withColumn("comp", F.coalesce("component", "rep")).drop("component"))
-        if turn + 1 < rounds:  # the next centre: a member outside the component of the last one
-            last = spread.select("v", F.col("other").alias("rep")).join(named.withColumnRenamed("node", "rep"), "rep", "left").select(
-                "v", F.coalesce("component", "rep").alias("was"))
-            lists = lists.join(last, "v").withColumn("score", F.when(F.col("comp") == F.col("was"), F.col("score") - F.lit(1 << 40)).otherwise(F.col("score"))).drop("was")
+            open_docs = kit.materialize(lists.join(spread.select("v"), "v", "left_semi").select("rep", "comp").distinct(), "near-open")
+            sets = full_sets(open_docs.select("rep"), reps, docs, k)
+            pairs = kit.materialize(crossing(sets, open_docs, numerator, denominator), "near-pairs")
+            return edges.unionByName(kit.materialize(confirmed(pairs, sets, numerator, denominator), "near-links"))
+        pairs = lists.join(spread, "v").where(close & (F.col("comp") != F.col("other_comp"))).select(F.col("other").alias("a"), F.col("rep").alias("b"))
+        some = likely(_ordered(pairs), reps, size, numerator, denominator, shared)
+        unsure = some.where("not sure")
+        sets = full_sets(unsure.select(F.explode(F.array("a", "b")).alias("rep")), reps, docs, k)
+        new = some.where("sure").select("a", "b").unionByName(confirmed(unsure, sets, numerator, denominator))
+        edges = edges.unionByName(kit.materialize(new, "near-links"))
+        named = kit.materialize(cc.components(edges), "near-labels").withColumnRenamed("node", "rep")
+        lists = (lists.drop("comp").join(named, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"))
+        if turn + 1 < rounds:  # the next centre is the next most central member
+            passed = F.when(F.col("rep") == F.col("other"), F.lit(-1.0)).otherwise(F.col("score"))
+            lists = lists.join(spread.select("v", "other"), "v").withColumn("score", passed).drop("other")
         lists = kit.materialize(lists, "near-lists")
-    empty = reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    return empty if edges is None else edges
 
 
 def groups(df: DataFrame, row: str = "doc_id", text: str = "text", shingle: int = SHINGLE, size: int = SKETCH,
            numerator: int = NUMERATOR, denominator: int = DENOMINATOR,
-           level_bits: int = LEVEL_BITS, rounds: int = ROUNDS) -> DataFrame:
+           rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_hash) for every row of ``df``; ``text_hash`` is xxhash64 of the text.
 
     Sets with ``denominator * common >= numerator * union`` are linked; a group's id is its smallest document id. Words
@@ -267,7 +281,7 @@ def groups(df: DataFrame, row: str = "doc_id", text: str = "text", shingle: int
     reps = kit.materialize(rows.join(members.where("first").select("uid", "rep"), "uid").select("rep", "n", "f1", "sketch"), "near-reps")
     t = numerator / denominator
     shared = t - 5 * math.sqrt(t * (1 - t) / size)
-    edges = links(reps, docs, shingle, size, numerator, denominator, shared, level_bits, rounds)
+    edges = links(reps, docs, shingle, size, numerator, denominator, shared, rounds)
     labels = kit.materialize(cc.components(edges), "near-components")
     named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
     back = lambda c: F.when(F.col(c) != _LAST, F.col(c))
