@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SECTION = 1 << 20
+SECTION = 1 << 18
 U64 = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _SHINGLE_BASES = (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
@@ -66,7 +66,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def batches(column: pa.Array | pa.ChunkedArray, limit: int = 4 * SECTION) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def batches(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of about ``limit`` bytes; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
