@@ -92,7 +92,7 @@ def shingle_counts(docs: DataFrame, text: str, lengths: list[int], flags) -> Dat
     return docs.select(F.col(text).cast("string")).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
-def passages(docs: DataFrame, row: str, text: str, lengths: list[int], flags, window: int) -> DataFrame:
+def passages(docs: DataFrame, row: str, text: str, lengths: list[int], flags, window: int, shingle: int) -> DataFrame:
     """A row for each document: its id, number of words, and the prefix shingles in it with the words around them."""
     hit = pa.struct([("shingle", pa.int64()), ("pos", pa.int32()), ("lead", pa.int32()), ("around", pa.string())])
     schema = pa.schema([("uid", pa.string()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(hit))])
@@ -109,8 +109,9 @@ def passages(docs: DataFrame, row: str, text: str, lengths: list[int], flags, wi
                 hits: list[list] = [[] for _ in range(j - i)]
                 raw = low.tobytes()
                 for k, pos, h in found:
+                    reach = window if k == shingle else k  # shorter shingles are whole items
                     for p, d, v in zip(pos.tolist(), owner[pos].tolist(), tk.signed(h).tolist()):
-                        a, b = max(first[d], p - window + k), min(first[d + 1], p + window)
+                        a, b = max(first[d], p - reach + k), min(first[d + 1], p + reach)
                         around = b" ".join([raw[x:y] for x, y in zip(starts[a:b], ends[a:b])]).decode()
                         hits[d].append({"shingle": v, "pos": p - int(first[d]), "lead": p - int(a), "around": around})
                 yield pa.RecordBatch.from_arrays([
@@ -141,7 +142,7 @@ def contamination(docs: DataFrame, bench: DataFrame, row: str = "doc_id", text:
         .join(counts.withColumnRenamed("n", "count"), "shingle", "left").withColumn("count", F.coalesce("count", F.lit(0)))
         .groupBy("win", "n").agg(rarest).where(F.col("_p.count") > 0)
         .select("win", "n", F.col("_p.at").alias("at"), F.col("_p.shingle").alias("shingle")), "decontaminate-prefix")
-    found = kit.materialize(passages(docs, row, text, lengths or [shingle], share(bitset.build(prefix, "shingle")), window), "decontaminate-hits")
+    found = kit.materialize(passages(docs, row, text, lengths or [shingle], share(bitset.build(prefix, "shingle")), window, shingle), "decontaminate-hits")
     near = found.select("uid", "n_words", F.explode("hits").alias("h")).select("uid", "n_words", "h.*").join(prefix, "shingle")
     start = F.col("pos") - F.col("at")
     same = F.expr("concat_ws(' ', slice(split(around, ' '), lead - at + 1, n)) = win")
