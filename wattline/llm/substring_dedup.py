@@ -134,7 +134,7 @@ def covered(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     found = kit.materialize(runs(docs, window, gram), "substring-runs")
     live = kit.materialize(repeated(found), "substring-repeated")
     classes = kit.materialize(live.groupBy("g", "c", "n").agg(F.min("doc_id").alias("owner")), "substring-classes")
-    several = classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    several = kit.materialize(classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"), "substring-several")
     classes = kit.materialize(classes.join(several, "g", "left").select("g", "c", "n", "owner", F.col("classes").isNotNull().alias("several")),
                               "substring-owners")
     judged = kit.materialize(
