@@ -101,7 +101,7 @@ def ranked(sets: DataFrame, values: str, kept: Column, bits: int = FILTER_BITS)
     counts drop the rest. ``score`` is high for sets of common values.
     """
     def cells(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in tk.slices(parts):
             cell, n = np.unique(_flat(batch.column(0))[1] & np.int64((1 << bits) - 1), return_counts=True)
             yield pa.RecordBatch.from_pydict({"cell": cell, "n": n})
 
@@ -109,7 +109,7 @@ def ranked(sets: DataFrame, values: str, kept: Column, bits: int = FILTER_BITS)
     flags = sets.sparkSession.sparkContext.broadcast(bitset.build(twice, "cell", bits))
 
     def spread(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in tk.slices(parts):
             ends, flat = _flat(batch.column(3))
             of = np.repeat(np.arange(batch.num_rows), np.diff(ends))
             ok = bitset.test(flags.value, flat)
@@ -127,7 +127,7 @@ def ranked(sets: DataFrame, values: str, kept: Column, bits: int = FILTER_BITS)
 def _estimate(size: int, numerator: int, denominator: int, shared: float):
     def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs not ruled out by the union's sketch; ``sure`` where both sketches are whole sets and decide."""
-        for batch in parts:
+        for batch in tk.slices(parts, 2000):
             m = batch.num_rows
             grid = np.full((m, 2 * size), _NONE)
             for at, column in ((0, 4), (size, 5)):
@@ -153,7 +153,7 @@ def _estimate(size: int, numerator: int, denominator: int, shared: float):
 
 def _confirm(numerator: int, denominator: int):
     def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in tk.slices(parts):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))

@@ -80,6 +80,15 @@ def batches(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterato
         j = min(j, n)
         yield i, j, data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
         i = j
+    pa.default_memory_pool().release_unused()  # idle workers should not keep a batch's buffers
+
+
+def slices(parts: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of ``rows`` rows, so that work arrays stay small."""
+    for batch in parts:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
