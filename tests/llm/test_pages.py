@@ -28,6 +28,34 @@ def test_article_blocks(page, want):
     assert H.parse(page)[0] == want
 
 
+@pytest.mark.parametrize("page,want", [
+    (SHELL % "<article class='post comments-open'><p>in</p></article>", ["in"]),
+    (SHELL % "<main class='has-sidebar'><p>in</p></main>", ["in"]),
+    (SHELL % "<main class='search'><p>in</p></main>", ["in"]),
+    (SHELL % "<div class='with-sidebar'><article><p>in</p></article></div>", ["in"]),
+    (SHELL % "<div class='sidebar'><article class='post comments-open'><p>in</p></article></div>", ["in"]),
+    (SHELL % "<main><h1>t</h1><div class='toolbar-layout'><article><p>in</p></article></div></main>", ["t", "in"]),
+    (SHELL % "<div class='post has-sidebar'><p>in</p></div>", ["in"]),
+    ("<body><form id=aspnetForm><nav>menu</nav><article><p>in</p></article><footer>end</footer></form>", ["in"]),
+    ("<body><form id=aspnetForm><div class='post'><p>in</p></div></form>", ["in"]),
+    (SHELL % "<article><h1 class='entry-header'>T</h1><h2 id='related-work'>R</h2><p id='search'>in</p><section id='related-work'><p>w</p></section></article>",
+     ["T", "R", "in", "w"]),
+    (SHELL % "<article data-id='nav'><div data-id='nav'>in</div></article>", ["in"]),
+    # what stays chrome
+    (SHELL % "<article><p>in</p></article><section class='related-posts'><article><p>other</p></article></section>", ["in"]),
+    (SHELL % "<article><p>in</p><div class='comments'><article><p>nice</p></article></div></article>", ["in"]),
+    (SHELL % "<main><p>in</p><ol class='comments'><li><article class='comment-body'><p>nice</p></article></ol></main>", ["in"]),
+    (SHELL % "<article><p>in</p><ul class='share-buttons'><li>post it</ul><form><h1>mail</h1></form></article>", ["in"]),
+])
+def test_names_of_layout_keep_the_article(page, want):
+    assert H.parse(page)[0] == want
+
+
+def test_pages_wrapped_in_a_form_stay_open():
+    article, rest, flags, has = H.parse("<body><form id=aspnetForm><nav>menu</nav><h1>T</h1><p>text</p><footer>end</footer></form>")
+    assert not has and [w for w, f in zip(rest, flags) if f] == ["T", "text"] and H.parse("<form><p>mail</p></form>")[2] == [False]
+
+
 def test_escaped_text_comes_back():
     rng = random.Random(3)
     for _ in range(50):

@@ -29,7 +29,7 @@ STREAM_TOKENS = 1 << 20
 _WORDS = tk.space_table()
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)
                       |<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[/!?a-zA-Z][^>]*(?:>|\Z)""", re.S | re.I | re.X)
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMED = re.compile(r"""(?<![\w:-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul""".split())
@@ -40,41 +40,99 @@ CHROME_NAMES = frozenset("""ad ads advert adverts advertisement advertising aler
     navigation newsletter notice notices pager pagination popup promo promotion related reply replies respond search share sharing sidebar
     signup social sponsor sponsored subscribe subscription toolbar widget""".split())
 ARTICLE_NAMES = frozenset("article entry main post story".split())
+# names of an element that lists other texts: such a wrapper is no mere layout around the article
+OTHERS = frozenset("""ad ads advert adverts advertisement advertising comment comments promo promotion related replies reply respond
+    sponsor sponsored widget""".split())
+# an id beside whose chrome words stands another word is a heading's anchor ('related-work')
+NEUTRAL = frozenset("area articles block body box button buttons container content div inner items item left links list main outer posts post right section top wrap wrapper".split())
+_STATE = re.compile(r"(?:has|have|with|without|no|not|is|show|hide)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled|active|on|off|visible|hidden|allowed)")
+CONTAINERS = frozenset("center details div dl fieldset figure ol section table tbody td tr ul".split())
 _LEAVE, _CHROME, _ARTICLE = 0, 1, 2
+_WEAK, _FORM = 3, 4  # chrome unless it holds the article; a form also where it wraps the page
+_RANK = {"article": 3, "main": 2}
+_PAGE_TAGS = frozenset("article footer h1 header main nav".split())
 
 
-def _kind(tag: str, attributes: str) -> tuple[int, bool]:
-    """Whether an element is chrome or an article, and whether its name alone says the latter."""
+class _Element:
+    """An open tag that counts: its kind, for an article how sure that is (article 3, main 2, a name 1), its chrome words."""
+
+    __slots__ = ("kind", "rank", "words")
+
+    def __init__(self, kind: int, rank: int = 0, words: frozenset = frozenset()):
+        self.kind, self.rank, self.words = kind, rank, words
+
+
+def _names(attributes: str) -> tuple[set[str], set[str]]:
+    """Words of the class, id and role, and which of them name chrome. Classes that give a state ('has-sidebar') name nothing."""
+    words, chrome = set(), set()
+    for m in _NAMED.finditer(attributes):
+        value = (m[2] or m[3] or m[4] or "").lower()
+        for token in value.split():
+            if _STATE.fullmatch(token):
+                continue
+            parts = {w for w in re.split(r"[^a-z0-9]+", token) if w}
+            words |= parts
+            if m[1].lower() != "id" or all(w in CHROME_NAMES or w in NEUTRAL or w.isdigit() for w in parts):
+                chrome |= parts & CHROME_NAMES
+    return words, chrome
+
+
+def _element(tag: str, attributes: str) -> _Element | None:
+    if tag in _RANK:
+        return _Element(_ARTICLE, _RANK[tag], frozenset(w.rstrip("s") for w in _names(attributes)[1]))
+    if tag == "form":
+        return _Element(_FORM)
     if tag in CHROME_TAGS:
-        return _CHROME, False
-    names = {w for m in _NAMED.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower())} if attributes.strip() else set()
-    if names & CHROME_NAMES and tag not in ("html", "body"):
-        return _CHROME, False
-    if tag in ("article", "main"):
-        return _ARTICLE, False
-    if names & ARTICLE_NAMES and tag in ("div", "section", "td"):
-        return _ARTICLE, True
-    return _LEAVE, False
+        return _Element(_CHROME)
+    if tag not in CONTAINERS or not attributes.strip():
+        return None
+    words, chrome = _names(attributes)
+    if chrome:
+        return _Element(_WEAK, words=frozenset(chrome))
+    if words & ARTICLE_NAMES and tag in ("div", "section", "td"):
+        return _Element(_ARTICLE, 1)
+    return None
+
+
+def _place(chain: list[_Element]) -> tuple[int, int, bool]:
+    """Zone of a block under these elements, how sure its article is, and whether wrappers named like lists of other texts hold it.
+
+    The zone is ``_WEAK`` where an article element stands inside chrome-named wrappers or a form: the page decides.
+    """
+    if any(e.kind == _CHROME for e in chain):
+        return _CHROME, 0, False
+    weak = [i for i, e in enumerate(chain) if e.kind in (_WEAK, _FORM)]
+    if not weak:
+        rank = max((e.rank for e in chain), default=0)
+        return (_ARTICLE if rank else _LEAVE), rank, False
+    inner = chain[weak[-1] + 1:]
+    rank = max((e.rank for e in inner), default=0)
+    if rank < 2 or any(e.rank == 3 for e in chain[:weak[-1]]):  # no article in the wrapper, or the wrapper is part of one
+        return _CHROME, 0, False
+    wrappers = frozenset().union(*(chain[i].words for i in weak))
+    if any(e.words & {w.rstrip("s") for w in wrappers} for e in inner):  # <article class=comment> in a list of comments
+        return _CHROME, 0, False
+    return _WEAK, rank, bool(wrappers & OTHERS)
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
     """(zone, text) of the page's blocks in order; zone is article, chrome or open.
 
     Character references are decoded, white space becomes one blank, empty blocks go. Elements closed by an outer
-    end tag or by the end of the page end there.
+    end tag or by the end of the page end there. ``article`` and ``main`` are articles whatever they are called. A name makes
+    chrome of a container only, and not if the container holds the page's article: one outside such containers goes before, and
+    for a list of comments, related texts or adverts any open text does. A form that holds page structure is no chrome.
     """
-    out: list[tuple[int, str, bool]] = []
+    found: list[tuple[list[_Element], str]] = []
     text: list[str] = []
-    stack: list[tuple[str, int, bool]] = []
+    stack: list[tuple[str, _Element | None]] = []
     marked = False
 
     def flush() -> None:
         words = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if words:
-            kinds = [k for _, k, _ in stack]
-            zone = _CHROME if _CHROME in kinds else _ARTICLE if _ARTICLE in kinds else _LEAVE
-            out.append((zone, words, zone == _ARTICLE and not any(k == _ARTICLE and not soft for _, k, soft in stack)))
+            found.append(([e for _, e in stack if e is not None], words))
 
     at = 0
     for m in _TAG.finditer(page):
@@ -102,13 +160,27 @@ def blocks(page: str) -> list[tuple[int, str]]:
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
             if tag not in VOID and not m[4].endswith("/"):
-                kind, soft = _kind(tag, m[4])
-                marked = marked or (kind == _ARTICLE and not soft)
-                stack.append((tag, kind, soft))
+                element = _element(tag, m[4])
+                article = element is not None and element.kind == _ARTICLE
+                marked = marked or (article and element.rank > 1)
+                if (tag in _PAGE_TAGS or article) and not any(e is not None and e.rank for _, e in stack):
+                    for _, e in stack:
+                        if e is not None and e.kind == _FORM:
+                            e.kind = _LEAVE
+                stack.append((tag, element))
     text.append(page[at:])
     flush()
-    # a container named like an article counts only where no element says so
-    return [(_LEAVE if soft and marked else zone, words) for zone, words, soft in out]
+    placed = [(*_place(chain), words) for chain, words in found]
+    best = max((rank for zone, rank, _, _ in placed if zone == _ARTICLE), default=0)
+    is_open = any(zone == _LEAVE for zone, _, _, _ in placed)
+    out = []
+    for zone, rank, others, words in placed:
+        if zone == _WEAK:
+            zone = _ARTICLE if rank > best and not (others and (best or is_open)) else _CHROME
+        elif zone == _ARTICLE and rank == 1 and marked:  # a container named like an article counts only where no element says so
+            zone = _LEAVE
+        out.append((zone, words))
+    return out
 
 
 def parse(page: str | None) -> tuple[list[str], list[str], list[bool], bool]:
