@@ -114,6 +114,19 @@ def test_open_blocks_lose_what_other_pages_repeat(spark):
     assert H.extract(df.limit(0)).count() == 0
 
 
+def test_phrases_and_mirrors_keep_open_text(spark):
+    rng = random.Random(12)
+    sentence = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    phrase, long, tagline, mains = sentence(12), sentence(40), "short tagline", [sentence(60) for _ in range(10)]
+    pages = [(i, f"http://one.example/{i}", f"<div>{tagline}</div><p>{phrase} {m}</p><div>{long if i < 2 else sentence(40)}</div>") for i, m in enumerate(mains)]
+    pages += [(100 + i, f"http://one.example/again/{i}", pages[9][2]) for i in range(20)]  # one page fetched again and again
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in H.extract(df, run=H.LONG, share=H.SHARE).collect()}
+    for i, m in enumerate(mains):
+        assert got[i][0] == f"{phrase} {m}" and len(got[i]) == (1 if i < 2 else 2)
+    assert len(got) == 30 and all(got[100 + i] == got[9] for i in range(20))
+
+
 def test_canonical_urls(spark):
     cases = {"HTTPS://www.Example.com:443/a/b/?utm_source=x&b=2&a=1#top": "example.com/a/b?a=1&b=2", "http://example.com": "example.com",
              "example.com/?ref=1": "example.com", None: "", "http://h/p?": "h/p", "http://h/P?x": "h/P?x"}

@@ -6,10 +6,14 @@ articles, nor can most menus and footers, which differ from page to page: both a
 any marked part, on pages without an article, are open. They are judged by the host's other pages:
 
 1. A page's token stream is its visible text outside articles. Tasks join the streams of a host and sort their
-   suffixes by the first ``RUN`` tokens (prefix doubling). Neighbours that agree are folded to one row with the range
+   suffixes by the first ``run`` tokens (prefix doubling). Neighbours that agree are folded to one row with the range
    of pages they occur on.
 2. Rows of all tasks merge: a run on two distinct pages of the host is repeated.
 3. Tokens of open blocks inside a repeated run are removed; the unique runs stay.
+
+The query counts texts, not pages: pages of a host with equal streams are one, so that a page fetched twice repeats nothing.
+Runs are ``LONG`` tokens, as shorter ones are phrases that recur in main text the more often the larger the host is. Shorter
+boilerplate goes by whole blocks: those on ``SHARE`` of the host's texts, and on ``TEXTS`` at least.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wattline.llm import bitset, kit, textkit as tk
 
 RUN = 8
+LONG = 32
+SHARE, TEXTS = 0.2, 3
 STREAM_TOKENS = 1 << 20
 _WORDS = tk.space_table()
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)
@@ -209,30 +215,37 @@ def suffix_ranks(tokens: np.ndarray, page: np.ndarray, run: int) -> np.ndarray:
 
 
 def _streams(batch: pa.RecordBatch, page_html: int):
-    """Token streams of a batch: two hashes of each token, the pages' first tokens, and which pages are open."""
-    texts, counts, is_open = [], [], []
+    """Token streams of a batch: two hashes of each token, the pages' first tokens, which pages are open, their blocks' sizes and zones."""
+    texts, sizes, zones, is_open = [], [], [], []
     for h in batch.column(page_html).to_pylist():
         _, rest, flags, article = parse(h)
         texts.append(" ".join(rest))
+        sizes.append([b.count(" ") + 1 for b in rest])
+        zones.append(flags)
         is_open.append(not article and any(flags))
     column = pa.array(texts, pa.string())
     for i, j, data, offsets in tk.batches(column):
         s, e, first = tk.word_spans(data, offsets, _WORDS)
-        yield i, j, tk.word_hashes(data, s, e), tk.word_hashes(data, s, e, 1), first, is_open[i:j]
+        yield i, j, tk.word_hashes(data, s, e), tk.word_hashes(data, s, e, 1), first, is_open[i:j], sizes[i:j], zones[i:j]
 
 
-def repeats(pages: DataFrame, run: int) -> tuple[DataFrame, DataFrame]:
-    """Runs of ``run`` tokens: (host, w1, w2, lo, hi) folded in tasks, and of open pages (page, host, w1, w2, at).
+def repeats(pages: DataFrame, run: int, share: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Repeated pieces (host, w1, w2), and pieces of open pages (page, host, w1, w2, at, size).
 
+    A piece is a run of ``run`` tokens on two pages; with ``share``, on two texts, or a block on that share of the host's texts.
     ``pages`` has ``page`` (key), ``host`` and ``html``.
     """
-    kinds = "host long, w1 long, w2 long, lo long, hi long, at int"
+    kinds = "host long, w1 long, w2 long, lo long, hi long, at int, size int"
 
     def sort(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             keys, hosts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, j, w1, w2, first, is_open in _streams(batch, 2):
+            for i, j, w1, w2, first, is_open, sizes, zones in _streams(batch, 2):
                 of = np.repeat(np.arange(j - i), np.diff(first))
+                counted = keys[i:j]
+                if share is not None and len(of):
+                    counted = tk.signed(tk.span_hashes(w1, first[:-1], first[1:], 0))
+                    yield from _blocks(keys[i:j], hosts[i:j], counted, w1, w2, first, is_open, sizes, zones)
                 host = hosts[i + of]
                 order = np.argsort(host, kind="stable")  # the streams of one host stand together
                 tokens = (w1 ^ tk.mix(host.view(np.uint64).copy()))[order]
@@ -244,35 +257,63 @@ def repeats(pages: DataFrame, run: int) -> tuple[DataFrame, DataFrame]:
                 if not len(suffixes):
                     continue
                 head = np.flatnonzero(np.concatenate([[True], np.diff(rank[suffixes]) > 0]))
-                page = keys[i + of_sorted[suffixes]]
+                page, unit = keys[i + of_sorted[suffixes]], counted[of_sorted[suffixes]]
                 begin = order[suffixes[head]]
                 f1, f2 = (tk.signed(tk.span_hashes(w, begin, begin + run, k)) for k, w in ((0, w1), (1, w2)))
-                yield _rows(host[begin], f1, f2, np.minimum.reduceat(page, head), np.maximum.reduceat(page, head), None)
+                yield _rows(host[begin], f1, f2, np.minimum.reduceat(unit, head), np.maximum.reduceat(unit, head), None, None)
                 wanted = np.array(is_open)[of_sorted[suffixes]]
                 if wanted.any():
                     here = order[suffixes[wanted]]
                     f1, f2 = (tk.signed(tk.span_hashes(w, here, here + run, k)) for k, w in ((0, w1), (1, w2)))
-                    yield _rows(host[here], f1, f2, page[wanted], page[wanted], place[here])
+                    yield _rows(host[here], f1, f2, page[wanted], page[wanted], place[here], np.full(len(here), run))
 
     found = kit.materialize(pages.select("page", "host", "html").mapInArrow(sort, kinds), "html-runs")
-    runs = found.where("at is null").groupBy("host", "w1", "w2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return runs.where("lo <> hi"), found.where("at is not null").select(F.col("lo").alias("page"), "host", "w1", "w2", "at")
-
-
-def _rows(host, f1, f2, lo, hi, at) -> pa.RecordBatch:
-    n = len(host)
-    where = pa.nulls(n, pa.int32()) if at is None else pa.array(at, pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(host), pa.array(f1), pa.array(f2), pa.array(lo), pa.array(hi), where],
-                                      names=["host", "w1", "w2", "lo", "hi", "at"])
-
-
-def _unique_runs(rest: list[str], flags: list[bool], cut: list[int] | None, run: int) -> list[str]:
-    """Open blocks without the tokens of repeated runs; what is left of each, if anything."""
+    runs = found.where("at is null").groupBy("host", "w1", "w2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
+    wanted = found.where("at >= 0").select(F.col("lo").alias("page"), "host", "w1", "w2", "at", "size")
+    pieces = runs.select("host", "w1", "w2")
+    if share is not None:
+        # a block's rows have at -1 and its text in lo; each text has one row with w1 and w2 null
+        seen = found.where("at = -1").select("host", "w1", "w2", "lo").distinct().groupBy("host", "w1", "w2").agg(F.count(F.lit(1)).alias("n"))
+        texts = seen.where("w1 is null").select("host", F.col("n").alias("texts"))
+        common = seen.where("w1 is not null").join(texts, "host").where(F.col("n") >= F.greatest(F.lit(TEXTS), F.ceil(share * F.col("texts"))))
+        pieces = pieces.unionByName(common.select("host", "w1", "w2"))
+    return pieces, wanted
+
+
+def _blocks(keys, hosts, texts, w1, w2, first, is_open, sizes, zones) -> Iterator[pa.RecordBatch]:
+    """Each text of a slice and its blocks, once for the counts; of open pages also the open blocks with their place."""
+    full = np.flatnonzero(np.diff(first))
+    none = pa.nulls(len(full), pa.int64())
+    yield _rows(hosts[full], none, none, texts[full], texts[full], np.full(len(full), -1), None)
+    size = np.array([n for page in sizes for n in page], dtype=np.int64)
+    if not len(size):
+        return
+    of = np.repeat(np.arange(len(sizes)), [len(page) for page in sizes])
+    end = np.cumsum(size)  # blocks follow one another without gaps
+    f1, f2 = (tk.signed(tk.span_hashes(w, end - size, end, k)) for k, w in ((0, w1), (1, w2)))
+    yield _rows(hosts[of], f1, f2, texts[of], texts[of], np.full(len(of), -1), None)
+    here = np.flatnonzero(np.array([z for page in zones for z in page]) & np.array(is_open)[of])
+    if len(here):
+        page = keys[of[here]]
+        yield _rows(hosts[of[here]], f1[here], f2[here], page, page, (end - size)[here] - first[of[here]], size[here])
+
+
+def _rows(host, f1, f2, lo, hi, at, size) -> pa.RecordBatch:
+    ints = [pa.nulls(len(host), pa.int32()) if x is None else pa.array(x, pa.int32()) for x in (at, size)]
+    return pa.RecordBatch.from_arrays([*map(_column, (host, f1, f2, lo, hi)), *ints], names=["host", "w1", "w2", "lo", "hi", "at", "size"])
+
+
+def _column(values) -> pa.Array:
+    return values if isinstance(values, pa.Array) else pa.array(values)
+
+
+def _unique_runs(rest: list[str], flags: list[bool], cut: list[dict] | None) -> list[str]:
+    """Open blocks without the tokens of repeated pieces; what is left of each, if anything."""
     words = [b.split(" ") for b in rest]
     drop = np.zeros(sum(map(len, words)) + 1, dtype=np.int32)
-    for at in cut or ():
-        drop[at] += 1
-        drop[min(len(drop) - 1, at + run)] -= 1
+    for piece in cut or ():
+        drop[piece["at"]] += 1
+        drop[min(len(drop) - 1, piece["at"] + piece["size"])] -= 1
     gone = np.cumsum(drop) > 0
     out, at = [], 0
     for block, is_open in zip(words, flags):
@@ -282,29 +323,27 @@ def _unique_runs(rest: list[str], flags: list[bool], cut: list[int] | None, run:
     return out
 
 
-def _texts(run: int):
-    def extract(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            texts = []
-            cuts = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
-            for page, cut in zip(batch.column(2).to_pylist(), cuts):
-                article, rest, flags, has = parse(page)
-                texts.append("\n\n".join(article if has else _unique_runs(rest, flags, cut, run)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    return extract
+def _texts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in parts:
+        texts = []
+        cuts = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
+        for page, cut in zip(batch.column(2).to_pylist(), cuts):
+            article, rest, flags, has = parse(page)
+            texts.append("\n\n".join(article if has else _unique_runs(rest, flags, cut)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def extract(df: DataFrame, page: str = "page_id", url: str = "url", page_html: str = "html", run: int = RUN) -> DataFrame:
+def extract(df: DataFrame, page: str = "page_id", url: str = "url", page_html: str = "html", run: int = RUN, share: float | None = None) -> DataFrame:
     """(page_id, url, text) of every row of ``df``.
 
     Null and empty pages give empty texts; a null or unparsable url belongs to the host ''. Pages are distinct if their
-    id or url differ; rows alike in both are one page to the repeat search and are all returned.
+    id or url differ; rows alike in both are one page to the repeat search and are all returned. With ``share``, texts are
+    counted instead of pages, and whole blocks on that share of a host's texts go too.
     """
     pages = df.select(F.col(page).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page_html).cast("string").alias("html"),
                       F.xxhash64(page, url).alias("page"), F.xxhash64(F.lower(F.coalesce(F.regexp_extract(url, _HOST, 1), F.lit("")))).alias("host"))
-    runs, wanted = repeats(pages, run)
-    covers = kit.materialize(wanted.join(runs, ["host", "w1", "w2"]).groupBy("page").agg(F.collect_set("at").alias("cut")), "html-covers")
+    pieces, wanted = repeats(pages, run, share)
+    covers = kit.materialize(wanted.join(pieces, ["host", "w1", "w2"]).groupBy("page").agg(F.collect_set(F.struct("at", "size")).alias("cut")), "html-covers")
     flags = df.sparkSession.sparkContext.broadcast(bitset.build(covers, "page"))
 
     def side(marked: bool):
@@ -319,11 +358,11 @@ def extract(df: DataFrame, page: str = "page_id", url: str = "url", page_html: s
     plain = slim.mapInArrow(side(False), slim.schema).select("page_id", "url", "html")
     cut = slim.mapInArrow(side(True), slim.schema).join(covers, "page", "left").select("page_id", "url", "html", "cut")
     out = "page_id long, url string, text string"
-    return plain.mapInArrow(_texts(run), out).unionByName(cut.mapInArrow(_texts(run), out))
+    return plain.mapInArrow(_texts, out).unionByName(cut.mapInArrow(_texts, out))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(kit.table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    return extract(kit.table(spark, sf_dir, "pages"), run=LONG, share=SHARE).withColumn("n_chars", F.length("text").cast("long"))
 
 
 QUERIES = {"op2_html_extraction": op2_html_extraction}
