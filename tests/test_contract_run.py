@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wattline import names as N
 from wattline.models import short_term as ST
-from wattline.operators import contracts as K, rules as R
+from wattline.operators import contracts as K, neighbours as B, rules as R
 from wattline.plans import pipelines as P
 from wattline.session import materialize, scratch_run, shared_dir
 from wattline.sources.fixtures import Tables
@@ -35,6 +35,28 @@ def test_every_live_contract_has_twelve_months_or_a_reason(spark, tables):
     assert silent.filter("motif is null or motif <> 'no_recent_data'").count() == 0
 
 
+def test_young_contracts_take_the_forests_first(spark, tables, monkeypatch):
+    spans = K.contract_class(K.contract_spans(tables.contracts).filter("finish_year >= 1998"), 1998)
+    new, growing = ([r.contrat for r in spans.filter(f"classe_contrat = '{c}'").orderBy("contrat").collect()] for c in ("similarity", "growth"))
+    asked = {}
+
+    def forecast(ids, value):
+        rows = [(c, 1998, m, value) for c in ids for m in range(1, 13)]
+        return spark.createDataFrame(rows, "contrat long, annee long, mois long, consommation double")
+
+    def growing_forecast(contracts, spans, shapes, year, **options):
+        asked.update(options, shapes={r.contrat for r in shapes.collect()})
+        return forecast(growing, 321.0)
+
+    monkeypatch.setattr(P.forest, "growing_contract_forecast", growing_forecast)
+    monkeypatch.setattr(P.forest, "new_contract_forecast", lambda *_, **options: forecast(new[:1], 123.0))
+    got = P.short_term_contracts(tables.contracts, tables.exogenous, 1998, SMALL, forests={"min_start": 1995})
+    use = {(r.contrat, r.mois): r.consommation for r in got.filter(F.col(N.CONTRAT).isin(new + growing)).collect()}
+    assert asked["min_start"] == 1995 and asked["shapes"] >= set(growing) and len(use) == 12 * len(new + growing)
+    assert {use[c, m] for c in growing for m in range(1, 13)} == {321.0} and {use[new[0], m] for m in range(1, 13)} == {123.0}
+    assert all(use[c, m] != 123.0 for c in new[1:] for m in range(1, 13))
+
+
 def test_contract_classes(spark):
     spans = spark.createDataFrame([(1, 2018), (2, 2019), (3, 2020), (4, 2021)], "contrat long, start_year long")
     assert [r.classe_contrat for r in K.contract_class(spans, 2020).orderBy("contrat").collect()] == ["established", "growth", "similarity", "later"]

@@ -11,6 +11,9 @@ from wattline.plans import pipelines as P
 from wattline.sources import tables as T
 
 
+_FORESTS = {"min_start": 1995}  # the tables' contracts start before the learner's usual first year
+
+
 def _regional(t):
     return T.load_regional(t.grd), T.distributor_scan(t.grd)
 
@@ -32,7 +35,7 @@ def _(t):
 @query("short_term_contracts_j02", "region:s partenaire:s contrat:i activite:s annee:i mois:i consommation:d consommation_zconhc:d consommation_zconhl:d "
        "consommation_zconhp:d puissance_facturee:d niveau_tension:s motif:s")
 def _(t):
-    return P.short_term_contracts(t.contracts, t.exogenous, 2001)
+    return P.short_term_contracts(t.contracts, t.exogenous, 2001, forests=_FORESTS)
 
 
 # Which contracts get rows does not depend on the grid: one configuration of each strategy will do to see it.
@@ -44,7 +47,7 @@ _ONE_EACH = {**ST.CONTRACT_GRID, "blocks": {"none": []}, "lags": [1], "lambdas":
        "end as classe_contrat, 12 as mois from contract_span where finish_year >= 2001", "contracts", K.SPAN_SQL)
 def _(t):
     """Every live contract with its class and its number of forecast months."""
-    months = P.short_term_contracts(t.contracts, t.exogenous, 2001, _ONE_EACH).groupBy(N.CONTRAT).agg(F.countDistinct(N.MOIS).alias(N.MOIS))
+    months = P.short_term_contracts(t.contracts, t.exogenous, 2001, _ONE_EACH, forests=_FORESTS).groupBy(N.CONTRAT).agg(F.countDistinct(N.MOIS).alias(N.MOIS))
     return months.join(K.contract_class(K.contract_spans(t.contracts), 2001), N.CONTRAT)
 
 
@@ -76,7 +79,7 @@ def _(t):
 
 @query("full_contracts_short_term_j06", "Region:s Partenaire:s Contrat:i Activity:s Year:i Month:i Consommation_Total:d Puissance_Facturee:d Niveau_tension:s")
 def _(t):
-    return P.full_contracts(t.contracts, t.exogenous, 2001)[0]
+    return P.full_contracts(t.contracts, t.exogenous, 2001, forests=_FORESTS)[0]
 
 
 def _corrected(t):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wattline import names as N
 from wattline.functions import series as S
-from wattline.models import long_term as LT, short_term as ST
+from wattline.models import forest, long_term as LT, short_term as ST
 from wattline.operators import adjustments as J, aggregates as A, contracts as K, neighbours as B, rules as R
 from wattline.operators.cleaning import non_negative_forecast
 from wattline.session import materialize
@@ -89,16 +89,10 @@ def full_regional(regional: DataFrame, distributors: DataFrame | None, exogenous
     return T.rename_result(stf, N.STF_SRM_HEADER), T.rename_result(ltf, N.LTF_SRM_HEADER)
 
 
-def short_term_contracts(contracts: DataFrame, exogenous: DataFrame, year: int, grid: dict = ST.CONTRACT_GRID, threshold: float = 0.6) -> DataFrame:
-    """Twelve months of ``year`` for every live contract: models for established ones, neighbours for young ones.
-
-    A contract that cannot be forecast has twelve zeros and a reason in ``motif``: ``no_recent_data`` (established, without rows in
-    the year before), ``no_model`` (no back-test or no usable neighbour), ``starts_later``. Live means that the contract does not end
-    before ``year``.
-    """
-    spans = materialize(K.contract_spans(contracts), "spans")
-    live = spans.filter(F.col("finish_year") >= year)
-    routed = K.contract_class(live, year)
+def established_forecasts(contracts: DataFrame, spans: DataFrame, exogenous: DataFrame, year: int, grid: dict = ST.CONTRACT_GRID,
+                          threshold: float = 0.6) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written forecasts of all live established contracts, tested years and ``year``; their history; those with rows the year before."""
+    routed = K.contract_class(spans.filter(F.col("finish_year") >= year), year)
     past = contracts.filter(F.col(N.ANNEE) < year)
     key = [N.CONTRAT]
     first = spans.select(N.CONTRAT, (F.col("start_year") - 2).alias("_from"))
@@ -110,18 +104,48 @@ def short_term_contracts(contracts: DataFrame, exogenous: DataFrame, year: int,
     levels, growth, growth_cols = _features(T.exogenous_national(exogenous), [], year)
     packed = ST.pack_series(placed, key, V, levels, GDP, growth, growth_cols, power=N.PF, fill_gaps=True)
     models = ST.run_short_term(packed, key, grid, ST.CONTRACT_ALPHAS, threshold, placeholder_year=year)
-    tested = materialize(ST.long_predictions(models, key), "tested-contracts")
+    return materialize(ST.long_predictions(models, key), "tested-contracts"), rows, last
+
+
+def young_neighbours(contracts: DataFrame, young: DataFrame, year: int) -> DataFrame:
+    """Written nearest contracts, by the billed power of ``year``, of the contracts in ``young``."""
+    profiles = materialize(B.with_scope(B.power_profiles(contracts, year), contracts), "profiles")
+    return materialize(B.nearest(profiles.join(young, N.CONTRAT, "left_semi"), profiles), "near")
+
+
+def short_term_contracts(contracts: DataFrame, exogenous: DataFrame, year: int, grid: dict = ST.CONTRACT_GRID, threshold: float = 0.6,
+                         forests: dict | None = None) -> DataFrame:
+    """Twelve months of ``year`` for every live contract: models for established ones, forests for young ones.
+
+    Young contracts without rows in their first year, or for which there is no sample to learn from, are forecast by neighbours.
+    ``forests`` has options of the forests, such as ``min_start``.
+
+    A contract that cannot be forecast has twelve zeros and a reason in ``motif``: ``no_recent_data`` (established, without rows in
+    the year before), ``no_model`` (no back-test or no usable neighbour), ``starts_later``. Live means that the contract does not end
+    before ``year``.
+    """
+    spans = materialize(K.contract_spans(contracts), "spans")
+    live = spans.filter(F.col("finish_year") >= year)
+    routed = K.contract_class(live, year)
+    key = [N.CONTRAT]
+    tested, rows, last = established_forecasts(contracts, spans, exogenous, year, grid, threshold)
     ahead = tested.filter(F.col(N.ANNEE) == year).select(N.CONTRAT, N.ANNEE, N.MOIS, F.col("prediction").alias(V))
     ahead = non_negative_forecast(ahead, rows.select(*key, N.ANNEE, N.MOIS, V), key, V)
 
-    profiles = materialize(B.with_scope(B.power_profiles(contracts, year), contracts), "profiles")
     young = routed.filter("classe_contrat in ('growth', 'similarity')")
-    near = materialize(B.nearest(profiles.join(young, N.CONTRAT, "left_semi"), profiles), "near")
-    classes = young.select(N.CONTRAT, "classe_contrat")
-    growing = B.growth_forecast(near.join(classes.filter("classe_contrat = 'growth'"), N.CONTRAT, "left_semi"), tested, contracts, year)
-    new = B.similarity_forecast(near.join(classes.filter("classe_contrat = 'similarity'"), N.CONTRAT, "left_semi"), tested, year)
+    near = young_neighbours(contracts, young, year)
     cols = [N.CONTRAT, N.ANNEE, N.MOIS, V]
-    found = ahead.select(*cols).unionByName(growing.select(*cols)).unionByName(new.select(*cols))
+    options = forests or {}
+    shapes = materialize(B.neighbour_shapes(near, tested, year), "shapes")
+    learned = {"growth": forest.growing_contract_forecast(contracts, spans, shapes, year, **options),
+               "similarity": forest.new_contract_forecast(contracts, spans, year, **options)}
+    found = ahead.select(*cols)
+    for name, values in learned.items():
+        of_class = young.filter(F.col("classe_contrat") == name)
+        values = materialize(values.join(of_class, N.CONTRAT, "left_semi").select(*cols), f"forest-{name}")
+        left = near.join(of_class, N.CONTRAT, "left_semi").join(values, N.CONTRAT, "left_anti")
+        by_neighbours = B.growth_forecast(left, tested, contracts, year) if name == "growth" else B.similarity_forecast(left, tested, year)
+        found = found.unionByName(values).unionByName(by_neighbours.select(*cols))
     recent = last.withColumn("_recent", F.lit(True))
     why = (F.when(F.col("classe_contrat") == "later", "starts_later")
            .when((F.col("classe_contrat") == "established") & F.col("_recent").isNull(), "no_recent_data").otherwise("no_model"))
@@ -154,16 +178,16 @@ def long_term_contracts(contracts: DataFrame, exogenous: DataFrame, last_year: i
 
 
 def full_contracts(contracts: DataFrame, exogenous: DataFrame, current_year: int, st_grid: dict = ST.CONTRACT_GRID, lt_grid: dict = LT.CONTRACT_GRID,
-                   entity: str = N.REGION) -> tuple[DataFrame, DataFrame]:
+                   entity: str = N.REGION, forests: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Short- and long-term results of all contracts; the current year is forecast, corrected by its realised months and reused."""
     contracts = materialize(contracts, "contracts")
     status = R.latest_status(contracts)
     before = contracts.filter(F.col(N.ANNEE) <= current_year)
-    current = short_term_contracts(before, exogenous, current_year, st_grid)
+    current = short_term_contracts(before, exogenous, current_year, st_grid, forests=forests)
     realised = before.filter(F.col(N.ANNEE) == current_year).withColumnRenamed(N.CONSO, V)
     corrected = materialize(R.correct_with_realised(current, realised, [N.CONTRAT], V, N.BANDS), "corrected-contracts")
     revised = materialize(R.upsert(contracts, corrected.withColumnRenamed(V, N.CONSO), [N.CONTRAT, N.ANNEE, N.MOIS], N.CONSO, [N.CONTRAT]), "history-contracts")
-    following = short_term_contracts(revised, exogenous, current_year + 1, st_grid)
+    following = short_term_contracts(revised, exogenous, current_year + 1, st_grid, forests=forests)
     flagged = status.withColumn("_k", F.lit(1))
     stf = R.remaining_and_next(corrected.withColumn("_k", F.lit(1)), following.withColumn("_k", F.lit(1)), flagged, ["_k"])
     ltf = long_term_contracts(revised, exogenous, current_year, entity, grid=lt_grid)
