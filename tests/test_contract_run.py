@@ -35,6 +35,15 @@ def test_every_live_contract_has_twelve_months_or_a_reason(spark, tables):
     assert silent.filter("motif is null or motif <> 'no_recent_data'").count() == 0
 
 
+def test_shapes_come_from_neighbours_of_any_id(spark):
+    near = spark.createDataFrame([(7, 1, 7), (7, 2, 9), (7, 3, 4), (8, 1, 5)], "contrat long, rang int, voisin long").withColumn("distance", F.lit(0.0))
+    forecasts = spark.createDataFrame([(c, 1998, m, float(m if c == 9 else 13 - m)) for c in (4, 9) for m in range(1, 13)],
+                                      "contrat long, annee long, mois long, prediction double")
+    got = {(r.contrat, r.mois): r.part for r in B.neighbour_shapes(near, forecasts, 1998).collect()}
+    assert set(got) == {(7, m) for m in range(1, 13)}
+    assert all(abs(got[7, m] - (2 / 3 * m + 1 / 3 * (13 - m)) / 78) < 1e-12 for m in range(1, 13))
+
+
 def test_young_contracts_take_the_forests_first(spark, tables, monkeypatch):
     spans = K.contract_class(K.contract_spans(tables.contracts).filter("finish_year >= 1998"), 1998)
     new, growing = ([r.contrat for r in spans.filter(f"classe_contrat = '{c}'").orderBy("contrat").collect()] for c in ("similarity", "growth"))

@@ -135,7 +135,7 @@ def short_term_contracts(contracts: DataFrame, exogenous: DataFrame, year: int,
     young = routed.filter("classe_contrat in ('growth', 'similarity')")
     near = young_neighbours(contracts, young, year)
     cols = [N.CONTRAT, N.ANNEE, N.MOIS, V]
-    options = forests or {}
+    options = {**(forests or {}), "unlearned": False}
     shapes = materialize(B.neighbour_shapes(near, tested, year), "shapes")
     learned = {"growth": forest.growing_contract_forecast(contracts, spans, shapes, year, **options),
                "similarity": forest.new_contract_forecast(contracts, spans, year, **options)}
