@@ -66,6 +66,17 @@ def test_young_contracts_take_the_forests_first(spark, tables, monkeypatch):
     assert all(use[c, m] != 123.0 for c in new[1:] for m in range(1, 13))
 
 
+def test_both_halves_of_the_contract_run_are_registered(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    def halves(contracts, exogenous, year, **options):
+        return [spark.createDataFrame([tuple("1" for _ in h)], list(h.values())) for h in (N.STF_CD_HEADER, N.LTF_CD_HEADER)]
+
+    monkeypatch.setattr(P, "full_contracts", halves)
+    assert entry.queries()["full_contracts_long_term_j06"](spark, SF).columns == list(N.LTF_CD_HEADER.values())
+    assert "short_term_reasons_j02" in entry.queries()
+
+
 def test_contract_classes(spark):
     spans = spark.createDataFrame([(1, 2018), (2, 2019), (3, 2020), (4, 2021)], "contrat long, start_year long")
     assert [r.classe_contrat for r in K.contract_class(spans, 2020).orderBy("contrat").collect()] == ["established", "growth", "similarity", "later"]

@@ -51,6 +51,14 @@ def _(t):
     return months.join(K.contract_class(K.contract_spans(t.contracts), 2001), N.CONTRAT)
 
 
+@query("short_term_reasons_j02", "classe_contrat:s motif:s n:i")
+def _(t):
+    """How many contracts of each class have no forecast, by reason; an empty reason is a forecast."""
+    why = P.short_term_contracts(t.contracts, t.exogenous, 2001, forests=_FORESTS).groupBy(N.CONTRAT).agg(F.max("motif").alias("motif"))
+    classes = K.contract_class(K.contract_spans(t.contracts), 2001).select(N.CONTRAT, "classe_contrat")
+    return why.join(classes, N.CONTRAT).groupBy("classe_contrat", "motif").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("long_term_regional_j03", "region:s annee:i consommation:d")
 def _(t):
     monthly = P.regional_series(*_regional(t), levels=(0,))
@@ -82,6 +90,12 @@ def _(t):
     return P.full_contracts(t.contracts, t.exogenous, 2001, forests=_FORESTS)[0]
 
 
+@query("full_contracts_long_term_j06", "Region:s Partenaire:s Contrat:i Activity:s Year:i Consommation_Total:d Consommation_ZCONHC:d "
+       "Consommation_ZCONHL:d Consommation_ZCONHP:d Puissance_Facturee:d Niveau_tension:s")
+def _(t):
+    return P.full_contracts(t.contracts, t.exogenous, 2001, forests=_FORESTS)[1]
+
+
 def _corrected(t):
     monthly = P.regional_series(*_regional(t), levels=(0,))
     ltf = P.long_term_regional(monthly, t.exogenous, 1999, horizon=2)
