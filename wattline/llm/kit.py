@@ -44,6 +44,17 @@ def numbered(df: DataFrame, bucket: Column, order: list[Column], out: str, by: l
     return ranked.join(shift, keys).withColumn(out, F.col(out) + F.col("_shift")).drop("_bucket", "_shift")
 
 
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, least: int = 100_000) -> DataFrame:
+    """``rows`` inner-joined with ``groups`` (one row a key, ``size`` rows of ``rows``) so that no task gets a large group.
+
+    Groups of more than ``least`` and more than a thousandth of the ``total`` rows, a thousand at most, are broadcast.
+    """
+    bound = max(least, total // 1000)
+    large = F.broadcast(groups.where(F.col(size) > bound))
+    others = rows.join(large.select(*keys), keys, "left_anti").join(groups.where(F.col(size) <= bound), keys)
+    return rows.join(large, keys).unionByName(others)
+
+
 def held_out(row: Column) -> Column:
     """Rows kept from learning: crc32 of the id as text is divisible by 5; a null id counts as empty text."""
     return F.crc32(F.coalesce(row.cast("string"), F.lit("")).cast("binary")) % 5 == 0
