@@ -177,3 +177,34 @@ def test_revisits(spark):
         got = W.resolve(df.withColumn("outcome", F.lit("x")), block_rows).collect()
         assert sorted((r.record_id, r.outcome, r.ref_id, r.headers, r.payload) for r in got) == brute_revisits(records)
     assert W.resolve(df.limit(0)).count() == 0
+
+
+def test_every_page_has_one_revisit_whatever_its_id(spark):
+    """Repeated and null page ids neither multiply nor lose rows; pages without address meet no response."""
+    pages = [(1, "https://a.org/x", "one"), (1, "https://a.org/x", "two"), (2, "https://a.org/y", "three"), (None, "https://b.org/", "four"),
+             (None, None, "five"), (3, None, "six"), (4, "", None), (2, "https://a.org/y", "three")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    records = W.captures(df)
+    facts = [r.asDict() for r in records.collect()]
+    got = W.resolve(records, block_rows=3).collect()
+    assert len(got) == len(pages)
+    want = []
+    for v in facts:
+        if v["kind"] != "revisit":
+            continue
+        url = (v["url"] or "").replace("https://", "").replace("http://", "").replace("#part", "").rstrip("/")
+        time = lambda r: -(1 << 62) if r["ts"] is None else r["ts"]
+        earlier = [r for r in facts if r["kind"] == "response" and url and time(r) < time(v)
+                   and (r["url"] or "").replace("https://", "").rstrip("/") == url]
+        tag = lambda r: (r["headers"].get("etag") or "").removeprefix("W/") or None
+        if not earlier:
+            want.append((v["record_id"], "no_earlier_response", None, None))
+            continue
+        best = max(earlier, key=lambda r: (time(r), r["record_id"], tag(r)))
+        date = v["headers"].get("last-modified")
+        if tag(v) is None and date is None:
+            outcome = "no_validator"
+        else:
+            outcome = "resolved" if (tag(v) == tag(best) if tag(v) else date == best["headers"].get("last-modified")) else "validator_mismatch"
+        want.append((v["record_id"], outcome, best["record_id"], best["payload"] if outcome == "resolved" else None))
+    assert sorted(((r.record_id, r.outcome, r.ref_id, r.payload) for r in got), key=str) == sorted(want, key=str)

@@ -45,40 +45,52 @@ def merged(stored: Column, update: Column) -> Column:
 def resolve(records: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """A row for every revisit: ``record_id``, ``canonical_url``, ``ts``, ``outcome``, ``ref_id``, ``headers``, ``payload``.
 
-    ``records`` has ``record_id`` (unique), ``kind`` ('response', 'revisit'; others are passed over), ``url``, ``ts`` (long), ``status``,
+    ``records`` has ``record_id``, ``kind`` ('response', 'revisit'; others are passed over), ``url``, ``ts`` (long), ``status``,
     ``headers`` (map, lower-case names) and ``payload``. A full response has status 200. "Earlier" is strictly so; of
-    responses at one time the largest id counts. Outcomes: ``resolved``, ``no_earlier_response``, ``no_validator`` (the revisit names
-    neither tag nor date), ``validator_mismatch``. Only resolved revisits get a payload and the stored headers; the others
-    keep their own. Null headers read as none; a null time is before all others; an empty table gives no rows.
+    responses at one time the largest id counts, then the largest tag, date and payload digest. Outcomes: ``resolved``,
+    ``no_earlier_response``, ``no_validator`` (the revisit names neither tag nor date), ``validator_mismatch``. Only resolved
+    revisits get a payload and the stored headers; the others keep their own. Every revisit gives one row, whether its id is
+    repeated or null; a null id sorts first. Records without an address have no earlier response. Null headers read as
+    none; a null time is before all others; an empty table gives no rows.
     """
-    none = F.create_map().cast("map<string,string>")
-    rows = records.select(
-        "record_id", "kind", canonical(F.col("url")).alias("canonical_url"), F.coalesce("ts", F.lit(-(1 << 62))).alias("_ts"), "ts", "status",
-        F.coalesce("headers", none).alias("headers"))
-    rows = rows.where(F.col("kind").isin("response", "revisit"))
+    entries = F.array_sort(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))))
+    digest = F.coalesce(F.md5(F.col("payload").cast("binary")), F.lit("-"))
+    full = (F.col("kind") == "response") & (F.col("status") == 200)
+    rows = records.where(F.col("kind").isin("response", "revisit")).select(
+        "record_id", "kind", canonical(F.col("url")).alias("canonical_url"), F.coalesce("ts", F.lit(-(1 << 62))).alias("_ts"), "ts",
+        F.coalesce(full, F.lit(False)).alias("_is_full"), entries.alias("_own"), F.when(full, digest).alias("_digest"))
     lo, hi, n = rows.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
     width = max(1, -(-((hi or 0) - (lo or 0) + 1) // max(1, -(-n // block_rows))))
-    full = (F.col("kind") == "response") & (F.col("status") == 200)
-    facts = F.struct("_ts", "record_id", _tag(F.col("headers")).alias("tag"), F.col("headers")["last-modified"].alias("date"))
-    slim = rows.select("canonical_url", "_ts", "record_id", "kind", F.floor((F.col("_ts") - (lo or 0)) / width).alias("_block"),
-                       F.when(full, facts).alias("_full"), _tag(F.col("headers")).alias("_tag"), F.col("headers")["last-modified"].alias("_date"))
+    named = rows.withColumn("_tag", _tag(F.map_from_entries("_own"))).withColumn("_date", F.map_from_entries("_own")["last-modified"])
+    facts = F.struct("_ts", "record_id", F.col("_tag").alias("tag"), F.col("_date").alias("date"), F.col("_digest").alias("digest"), F.col("_own").alias("stored"))
+    slim = named.where("canonical_url <> ''").select(
+        "canonical_url", "_ts", "ts", "record_id", "kind", F.floor((F.col("_ts") - (lo or 0)) / width).alias("_block"),
+        F.when(F.col("_is_full"), facts).alias("_full"), "_tag", "_date", "_own")
     carry = slim.groupBy("canonical_url", "_block").agg(F.max("_full").alias("_last"))
     before = Window.partitionBy("canonical_url").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = carry.select("canonical_url", "_block", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
-    inside = Window.partitionBy("canonical_url", "_block").orderBy("_ts", F.col("_full").isNotNull(), "record_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("canonical_url", "_block").orderBy("_ts", F.col("_full").isNotNull(), "_full").rowsBetween(Window.unboundedPreceding, 0)
     local = slim.withColumn("_seen", F.last("_full", ignorenulls=True).over(inside)).where("kind = 'revisit'")
     met = local.join(carry, ["canonical_url", "_block"]).withColumn("_met", F.coalesce("_seen", "_carried"))
-    named = F.col("_tag").isNotNull() | F.col("_date").isNotNull()
+    has = F.col("_tag").isNotNull() | F.col("_date").isNotNull()
     agrees = F.when(F.col("_tag").isNotNull(), F.col("_tag").eqNullSafe(F.col("_met.tag"))).otherwise(F.col("_date").eqNullSafe(F.col("_met.date")))
-    outcome = (F.when(F.col("_met").isNull(), "no_earlier_response").when(~named, "no_validator").when(agrees, "resolved").otherwise("validator_mismatch"))
-    judged = met.select("record_id", outcome.alias("outcome"), F.col("_met.record_id").alias("_ref"))
-    revisits = rows.where("kind = 'revisit'").select("record_id", "canonical_url", "ts", F.col("headers").alias("_own")).join(judged, "record_id")
-    stored = records.where(full).select(F.col("record_id").alias("_ref"), F.coalesce("headers", none).alias("_stored"), "payload")
-    done = revisits.where("outcome = 'resolved'").join(stored, "_ref").select(
-        "record_id", "canonical_url", "ts", "outcome", F.col("_ref").alias("ref_id"), merged(F.col("_stored"), F.col("_own")).alias("headers"), "payload")
-    rest = revisits.where("outcome <> 'resolved'").select(
-        "record_id", "canonical_url", "ts", "outcome", F.when(F.col("outcome") != "no_earlier_response", F.col("_ref")).alias("ref_id"),
-        F.col("_own").alias("headers"), F.lit(None).cast("string").alias("payload"))
+    outcome = (F.when(F.col("_met").isNull(), "no_earlier_response").when(~has, "no_validator").when(agrees, "resolved").otherwise("validator_mismatch"))
+    judged = met.select("record_id", "canonical_url", "ts", outcome.alias("outcome"), F.col("_met.record_id").alias("ref_id"),
+                        F.col("_met.digest").alias("_digest"), F.col("_met.stored").alias("_stored"), "_own")
+    homeless = named.where("canonical_url = '' and kind = 'revisit'").select(
+        "record_id", "canonical_url", "ts", F.lit("no_earlier_response").alias("outcome"), F.lit(None).cast(rows.schema["record_id"].dataType).alias("ref_id"),
+        F.lit(None).cast("string").alias("_digest"), F.lit(None).cast(rows.schema["_own"].dataType).alias("_stored"), "_own")
+    judged = kit.materialize(judged.unionByName(homeless), "warc-judged")
+    # a payload is known by its digest and the response's id; one that very many revisits meet is joined apart
+    key = [F.coalesce(F.col("_ref").cast("string"), F.lit("")).alias("_id"), "_digest"]
+    hits = judged.where("outcome = 'resolved'").withColumn("_ref", F.col("ref_id")).select("*", key[0]).drop("_ref")
+    counts = hits.groupBy("_id", "_digest").agg(F.count(F.lit(1)).alias("_revisits"))
+    payloads = records.where(full).withColumn("_ref", F.col("record_id")).select(key[0], digest.alias("_digest"), "payload")
+    payloads = payloads.join(counts, ["_id", "_digest"]).groupBy("_id", "_digest", "_revisits").agg(F.any_value("payload").alias("payload"))
+    done = kit.join_hot(hits, payloads, ["_id", "_digest"], "_revisits", n).select(
+        "record_id", "canonical_url", "ts", "outcome", "ref_id", merged(F.map_from_entries("_stored"), F.map_from_entries("_own")).alias("headers"), "payload")
+    rest = judged.where("outcome <> 'resolved'").select(
+        "record_id", "canonical_url", "ts", "outcome", "ref_id", F.map_from_entries("_own").alias("headers"), F.lit(None).cast("string").alias("payload"))
     return done.unionByName(rest)
 
 
