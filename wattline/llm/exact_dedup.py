@@ -111,7 +111,8 @@ def dedup(df: DataFrame, row: str = "doc_id", text: str = "text", bucket_bytes:
         F.collect_list(F.struct("_depth", "_prefix")).alias("_leaves"))
     placed = (entries.withColumn("_head", F.shiftrightunsigned("_key", 64 - first)).join(heads, "_head").withColumn(
         "_bucket", F.expr("filter(_leaves, l -> shiftrightunsigned(_key, 64 - l._depth) = l._prefix)[0]")))
-    owned = placed.repartition("_bucket").sortWithinPartitions("_key")
+    tasks = max(1, leaves.count())  # owner tasks: one for each leaf bucket
+    owned = placed.repartition(tasks, "_bucket").sortWithinPartitions("_key")
     index = kit.materialize(owned.select("_entry", "_key", "_text").mapInArrow(_chain, "_entry string, _chain string"), "dedup-index")
     slim = rows.select("_row", "_len", "_sha", "_entry")
     local = slim.groupBy("_entry").agg(F.count(F.lit(1)).alias("_n"), F.max("_len").alias("_most"),
