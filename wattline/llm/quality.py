@@ -164,7 +164,9 @@ def learn(df: DataFrame, labels: DataFrame, row: str = "doc_id", text: str = "te
     sample = kit.bounded_sample(marked, "label", per_label, seed, ["id"]).select("id", "label", "_count")
     rows = (df.select(F.col(row).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
             .where(F.octet_length("text") <= fit_bytes).join(F.broadcast(sample), "id").withColumn("th", F.xxhash64("text")))
-    found = rows.dropDuplicates(["id"]).limit(2 * per_label).toArrow().to_pylist()
+    # of rows that share an id the text with the least hash counts, whatever their order
+    rows = rows.groupBy("id").agg(F.min_by(F.struct("text", "label", "_count"), F.struct("th", "text")).alias("r")).select("id", "r.*")
+    found = rows.limit(2 * per_label).toArrow().to_pylist()
     if not found:
         return None
     found.sort(key=lambda r: r["id"])
