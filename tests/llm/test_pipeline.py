@@ -62,3 +62,37 @@ def test_run(spark, small):
     slots = Counter((r.shard, r.slot) for r in got)
     assert got and max(slots.values()) == 1
     assert Counter((r.doc_id, r.shard, r.slot) for r in got) == Counter((r.doc_id, r.shard, r.slot) for r in P.run(spark, where).collect())
+
+
+NAMES = ("_mix_words", "_shard", "_row", "_id", "_hash", "_draw", "_stratum", "_n", "_bucket", "_block", "_copy", "_target", "_count", "kept", "uid")
+
+
+def test_one_row_of_repeated_documents(spark, small):
+    """A document repeated as it is, with or without words, leaves one row; nothing else changes."""
+    where, rows = small
+    docs = kit.table(spark, where, "documents")
+    again = docs.unionByName(docs.where("doc_id in (7, 8, 17) or doc_id is null"))
+    plain = Counter((r["doc_id"], r["text"]) for r in P.distinct_documents(spark, docs, where).collect())
+    got = P.distinct_rows(spark, again, where)
+    assert got.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(set(plain))
+    assert dict(P.STAGES)["near_dedup"] is P.distinct_rows
+
+
+def test_columns_named_like_helpers(spark, small, tmp_path):
+    from pyspark.sql import functions as F
+
+    where, _ = small
+    docs = kit.table(spark, where, "documents").select("*", *[F.lit("x").alias(n) for n in NAMES])
+    for name, stage in P.STAGES:
+        out = kit.materialize(stage(spark, docs, where), f"names-{name}")
+        got = out.collect()
+        assert got and all(r[n] == "x" for r in got for n in NAMES)
+        docs = out
+
+
+def test_no_documents(spark, small, tmp_path):
+    where, _ = small
+    kit.table(spark, where, "documents").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        kit.table(spark, where, name).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert P.run(spark, str(tmp_path)).count() == 0

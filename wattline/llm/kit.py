@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from wattline.session import materialize
-
-__all__ = ["materialize", "table", "size_words", "seeded", "numbered"]
+from wattline import session
 
 SPACE_CLASS = r"[^\x20\x09-\x0D]+"
+ARROW_ROWS = "1000"
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, label: str, partition_by=()) -> DataFrame:
+    """``session.materialize`` with small batches to Python workers: whole texts at the usual 10,000 rows a batch take
+    some hundred MB of an executor outside its heap."""
+    conf = df.sparkSession.conf
+    before = conf.get(_ARROW)
+    conf.set(_ARROW, min(ARROW_ROWS, before, key=int))
+    try:
+        return session.materialize(df, label, partition_by)
+    finally:
+        conf.set(_ARROW, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,13 +74,14 @@ def held_out(row: Column) -> Column:
 
 def bounded_sample(df: DataFrame, stratum: str, per_stratum: int, seed: int, key: list[str]) -> DataFrame:
     """At most ``per_stratum`` rows of each value of ``stratum``: those with the least seeded draws, with ``_count``,
-    the stratum's rows in ``df``.
+    the stratum's rows in ``df`` (a column of that name is replaced). Rows without a stratum are left out.
 
     Large strata are thinned by their draw first, so no task ranks more than about twice the bound.
     """
-    counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_count"))
-    drawn = df.withColumn("_draw", seeded(seed, *[F.col(k) for k in key]))
-    thin = drawn.join(F.broadcast(counts), stratum).where(
-        F.col("_draw") / 2.0 ** 64 + 0.5 <= (2.0 * per_stratum + 50) / F.col("_count"))
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy("_draw", *key))
-    return thin.withColumn("_rank", rank).where(F.col("_rank") <= per_stratum).drop("_rank")
+    kept = [c for c in df.columns if c != "_count"]
+    rows = df.select(F.struct(*kept).alias("_row"), F.col(stratum).alias("_stratum"), seeded(seed, *[F.col(k) for k in key]).alias("_draw"),
+                     *[F.col(k).alias(f"_key{i}") for i, k in enumerate(key)])
+    counts = rows.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_count"))
+    thin = rows.join(F.broadcast(counts), "_stratum").where(F.col("_draw") / 2.0 ** 64 + 0.5 <= (2.0 * per_stratum + 50) / F.col("_count"))
+    rank = F.row_number().over(Window.partitionBy("_stratum").orderBy("_draw", *[f"_key{i}" for i in range(len(key))]))
+    return thin.withColumn("_rank", rank).where(F.col("_rank") <= per_stratum).select("_row.*", "_count")

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wattline.llm import kit
 
@@ -88,19 +88,14 @@ def _draw_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_stratum": pdf["_stratum"], "_block": pdf["_block"], "_places": places})
 
 
-def assign(df: DataFrame, size: str, source: str = "source", key: tuple[str, ...] = ("doc_id",), shards: int = SHARDS,
-           seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS,
-           block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``df`` with ``_source_size``, ``_target`` and ``_shards``, the shards that get a copy of the row.
-
-    A row in no shard has an empty list; a shard may be listed more than once. Null sources form one source,
-    which sorts last; null sizes count as 0; sources without words have target 0; an empty table stays empty.
-    Rows alike in ``key`` and source share their block and so their fate.
-    """
+def _placed(df: DataFrame, size: str | Column, source: str, key: tuple[str, ...], shards: int, seed: int, weights: tuple[int, ...],
+            repeats: int, block_words: int) -> DataFrame:
+    """(_row, _key0 .., _source_size, _target, _shards): the caller's columns in one, so their names meet none of those here."""
     spark = df.sparkSession
-    rows = df.select("*", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("_stratum"),
-                     F.coalesce(F.col(size), F.lit(0)).alias("_size"),
-                     kit.seeded(seed, F.col(source), *[F.col(k) for k in key]).alias("_draw"))
+    size = F.col(size) if isinstance(size, str) else size
+    rows = df.select(F.struct(*df.columns).alias("_row"), *[F.col(k).alias(f"_key{i}") for i, k in enumerate(key)],
+                     F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("_stratum"),
+                     F.coalesce(size, F.lit(0)).alias("_size"), kit.seeded(seed, F.col(source), *[F.col(k) for k in key]).alias("_draw"))
     slim = rows.select("_stratum", "_size", "_draw")
     found = [(r[0], int(r[1])) for r in slim.groupBy("_stratum").agg(F.sum("_size")).collect()]
     found.sort(key=lambda r: (r[0] == "", r[0]))
@@ -123,17 +118,40 @@ def assign(df: DataFrame, size: str, source: str = "source", key: tuple[str, ...
         "_stratum string, _ends array<long>, _source_size long, _target double")
     where = F.expr("transform(_places, p -> size(filter(_ends, e -> e <= p)))").alias("_shards")
     lots = drawn.join(ends, "_stratum").select("_stratum", "_block", where, "_source_size", "_target")
-    return (rows.withColumn("_block", block).join(lots, ["_stratum", "_block"]).drop("_stratum", "_block", "_size", "_draw"))
+    return rows.withColumn("_block", block).join(lots, ["_stratum", "_block"]).drop("_stratum", "_block", "_size", "_draw")
+
+
+def assign(df: DataFrame, size: str | Column, source: str = "source", key: tuple[str, ...] = ("doc_id",), shards: int = SHARDS,
+           seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS,
+           block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``df`` with ``_source_size``, ``_target`` and ``_shards``, the shards that get a copy of the row.
+
+    A row in no shard has an empty list; a shard may be listed more than once. Null sources form one source,
+    which sorts last; null sizes count as 0; sources without words have target 0; an empty table stays empty.
+    Rows alike in ``key`` and source share their block and so their fate. Columns of ``df`` named like the three new ones
+    are replaced; all others are kept.
+    """
+    new = ["_source_size", "_target", "_shards"]
+    kept = [F.col("_row")[c].alias(c) for c in df.columns if c not in new]
+    return _placed(df, size, source, key, shards, seed, weights, repeats, block_words).select(*kept, *new)
 
 
-def mix(df: DataFrame, size: str, source: str = "source", key: tuple[str, ...] = ("doc_id",), shards: int = SHARDS,
-        seed: int = SEED, **options) -> DataFrame:
-    """The mixture: a row of ``df`` as often as it was drawn, with ``_shard``, sorted in a seeded order in its shard."""
-    placed = assign(df, size, source, key, shards, seed, **options)
-    copies = placed.select(*df.columns, F.posexplode("_shards").alias("_copy", "_shard"))
-    order = kit.seeded(seed + 2, F.col("_shard"), F.col("_copy"), *[F.col(k) for k in key])
-    return (copies.withColumn("_order", order).repartition("_shard").sortWithinPartitions("_shard", "_order")
-            .drop("_order", "_copy"))
+def mix(df: DataFrame, size: str | Column, source: str = "source", key: tuple[str, ...] = ("doc_id",), shards: int = SHARDS,
+        seed: int = SEED, ordered: bool = True, shard_col: str | None = "_shard", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS,
+        block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mixture: a row of ``df`` as often as it was drawn, with ``shard_col``, in a seeded order inside its shard.
+
+    A shard may span several partitions, one after the other. ``ordered=False`` leaves the rows where they are. A column
+    of ``df`` named like ``shard_col`` is replaced, all others are kept; None adds no column.
+    """
+    placed = _placed(df, size, source, key, shards, seed, weights, repeats, block_words)
+    keys = [f"_key{i}" for i in range(len(key))]
+    copies = placed.select("_row", *keys, F.posexplode("_shards").alias("_copy", "_shard"))
+    out = [F.col("_row")[c].alias(c) for c in df.columns if c != shard_col] + [F.col("_shard").alias(shard_col)] * bool(shard_col)
+    if not ordered:
+        return copies.select(*out)
+    order = kit.seeded(seed + 2, F.col("_shard"), F.col("_copy"), *[F.col(k) for k in keys])
+    return copies.withColumn("_order", order).repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order").select(*out)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

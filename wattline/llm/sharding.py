@@ -29,19 +29,19 @@ def shard(df: DataFrame, source: str = "source", key: tuple[str, ...] = ("doc_id
     """
     rows = df.count()
     parts = max(64, -(-rows // bucket_rows))
-    keys = [F.col(k) for k in key]
     kept = [c for c in df.columns if c not in (shard_col, slot_col)]
-    drawn = df.select(*kept, F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("_stratum"),
-                      kit.seeded(seed, F.col(source), *keys).alias("_draw"))
+    # the caller's columns travel in one, so their names meet none of those below
+    drawn = df.select(F.struct(*kept).alias("_row"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("_stratum"),
+                      kit.seeded(seed, F.col(source), *[F.col(k) for k in key]).alias("_draw"), *[F.col(k).alias(f"_key{i}") for i, k in enumerate(key)])
+    keys = [F.col(f"_key{i}") for i in range(len(key))]
     ranked = kit.numbered(drawn, F.floor((F.col("_draw") / 2.0 ** 64 + 0.5) * parts).cast("long"),
                           [F.col("_draw"), *keys], "_rank", by=["_stratum"], total="_n")
     placed = ranked.withColumn("_at", (2 * F.col("_rank") + 1) / (2 * F.col("_n")))
     ordered = kit.numbered(placed, F.floor(F.col("_at") * parts).cast("long"),
                            [F.col("_at"), F.col("_stratum"), F.col("_draw"), *keys], "_place")
     which = F.expr(f"cast((_place * {shards}) div {max(rows, 1)} as int)")
-    start = F.expr(f"(cast({shard_col} as bigint) * {rows} + {shards - 1}) div {shards}")
-    return (ordered.withColumn(shard_col, which).withColumn(slot_col, F.col("_place") - start)
-            .select(*kept, shard_col, slot_col))
+    start = F.expr(f"(cast(_shard as bigint) * {rows} + {shards - 1}) div {shards}")
+    return ordered.withColumn("_shard", which).select("_row.*", F.col("_shard").alias(shard_col), (F.col("_place") - start).alias(slot_col))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
