@@ -147,7 +147,9 @@ def mix(df: DataFrame, size: str | Column, source: str = "source", key: tuple[st
     placed = _placed(df, size, source, key, shards, seed, weights, repeats, block_words)
     keys = [f"_key{i}" for i in range(len(key))]
     copies = placed.select("_row", *keys, F.posexplode("_shards").alias("_copy", "_shard"))
-    out = [F.col("_row")[c].alias(c) for c in df.columns if c != shard_col] + [F.col("_shard").alias(shard_col)] * bool(shard_col)
+    out = [F.col("_row")[c].alias(c) for c in df.columns if c != shard_col]
+    if shard_col:
+        out.append(F.col("_shard").alias(shard_col))
     if not ordered:
         return copies.select(*out)
     order = kit.seeded(seed + 2, F.col("_shard"), F.col("_copy"), *[F.col(k) for k in keys])
