@@ -341,3 +341,33 @@ def _(t):
        "cd group by 1, 2, 3) x group by 1, 2", "cd")
 def _(t):
     return A.time_evolution(t.cd, N.PF, "mean", yearly=True, keys=[N.ACTIVITE])
+
+
+@query("time_evolution_median_monthly_c30", "annee:i mois:i puissance_facturee:d",
+       "select annee, mois, median(puissance_facturee) as puissance_facturee from cd group by 1, 2", "cd")
+def _(t):
+    return A.time_evolution(t.cd, N.PF, "median", yearly=False)
+
+
+@query("time_evolution_median_yearly_c30", "activite:s annee:i puissance_facturee:d",
+       "select activite, annee, median(v) as puissance_facturee from (select activite, annee, mois, median(puissance_facturee) as v from "
+       "cd group by 1, 2, 3) x group by 1, 2", "cd")
+def _(t):
+    return A.time_evolution(t.cd, N.PF, "median", yearly=True, keys=[N.ACTIVITE])
+
+
+@query("ranked_results_e19b", "contrat:i mape_test:d mae_train:d rang:i",
+       "select contrat, mape_test, mae_train, row_number() over (order by mape_test nulls last, mae_train nulls last, contrat) as rang from (select "
+       "contrat, round(avg(abs((actual - prediction) / actual)) filter (where annee >= 1999 and actual <> 0) * 100, 6) as mape_test, round(avg(abs(actual - "
+       "prediction)) filter (where annee < 1999), 6) as mae_train from p group by 1) x", "cd", _RESULTS)
+def _(t):
+    """Contracts by test error, those never tested last: nested metrics flattened, then ranked."""
+    from wattline.operators import metrics as Q
+
+    pred = naive_results(t)[0]
+    tested, actual, prediction = F.col(N.ANNEE) >= 1999, F.col("actual"), F.col("prediction")
+    error = F.abs(actual - prediction)
+    nested = pred.groupBy(N.CONTRAT).agg(F.struct(
+        F.struct(F.round(F.avg(F.when(~tested, error)), 6).alias("mae")).alias("train"),
+        F.struct(F.round(F.avg(F.when(tested & (actual != 0), F.abs((actual - prediction) / F.nullif(actual, F.lit(0.0))))) * 100, 6).alias("mape")).alias("test")).alias("metrics"))
+    return Q.ranked_nulls_last(Q.flat_results(nested), "mape_test", "mae_train", N.CONTRAT)

@@ -59,6 +59,46 @@ def _(t):
     return why.join(classes, N.CONTRAT).groupBy("classe_contrat", "motif").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _written_forecasts(t):
+    """Two versions of written contract forecasts: a whole run, and a newer one that has no rows of one activity and no first month of 1999."""
+    months = t.cd.select(N.REGION, N.ACTIVITE, N.CONTRAT, N.ANNEE, N.MOIS, F.col(N.CONSO).alias("consommation")).filter(F.col(N.REGION).isNotNull())
+    last = months.agg(F.max(N.ACTIVITE).alias("_last"))
+    newer = months.join(F.broadcast(last)).filter((F.col(N.ACTIVITE) != F.col("_last")) & ~((F.col(N.ANNEE) == 1999) & (F.col(N.MOIS) == 1))).drop("_last")
+    return months.withColumn("version", F.lit(1)).unionByName(newer.withColumn("consommation", F.col("consommation") * 2).withColumn("version", F.lit(2)))
+
+
+@query("client_lookup_j01", "region:s activite:s annee:i version:i n:i total:d dernier:d",
+       "select region, activite, annee, version, 12 as n, total, dernier from (select *, row_number() over (partition by region, activite, annee order by version desc) as k "
+       "from (select version, region, activite, annee, sum(v) as total, max(v) filter (where mois = 12) as dernier from (select version, region, activite, annee, mois, "
+       "sum(v) as v from w group by all union all select version, region, 'Total', annee, mois, sum(v) from w group by all) x group by all having "
+       "count(*) = 12) y) z where k = 1", "cd",
+       "w as (select 1 as version, region, activite, annee, mois, consommation_kwh as v from cd where region is not null union all select 2, region, activite, annee, "
+       "mois, consommation_kwh * 2 from cd where region is not null and activite <> (select max(activite) from cd where region is not null) and not (annee = 1999 and mois = 1))", scale=2)
+def _(t):
+    """The twelve values that regional runs take from written contract forecasts, and the version each entity falls back to."""
+    found = P.client_lookup(_written_forecasts(t))
+    return found.select(N.REGION, N.ACTIVITE, N.ANNEE, "version", F.size("valeurs").alias("n"),
+                        F.aggregate("valeurs", F.lit(0.0), lambda s, v: s + v).alias("total"), F.element_at("valeurs", 12).alias("dernier"))
+
+
+@query("short_term_regional_clients_j01", "region:s activite:s annee:i mois:i consommation:d")
+def _(t):
+    """The regional run whose grid tries the contract forecasts of each entity; its year is the one after the last whole year."""
+    monthly = P.regional_series(*_regional(t))
+    whole = monthly.filter(F.col(N.ACTIVITE) == N.TOTAL).groupBy(N.ANNEE).agg(F.count_distinct(N.MOIS).alias("n")).filter("n = 12")
+    last = whole.agg(F.max(N.ANNEE)).first()[0]
+    return P.short_term_regional(monthly.filter(F.col(N.ANNEE) <= last), t.exogenous, last + 1, ST.REGIONAL_CLIENT_GRID,
+                                 clients=P.client_lookup(_written_forecasts(t)))
+
+
+@query("long_term_regional_clients_j03", "region:s annee:i consommation:d")
+def _(t):
+    monthly = P.regional_series(*_regional(t), levels=(0,))
+    whole = monthly.groupBy(N.ANNEE).agg(F.count_distinct(N.MOIS).alias("n")).filter("n = 12")
+    last = whole.agg(F.max(N.ANNEE)).first()[0]
+    return P.long_term_regional(monthly, t.exogenous, last, clients=P.client_lookup(_written_forecasts(t)))
+
+
 @query("long_term_regional_j03", "region:s annee:i consommation:d")
 def _(t):
     monthly = P.regional_series(*_regional(t), levels=(0,))
@@ -77,23 +117,23 @@ def _(t):
 
 @query("full_regional_short_term_j05", "Region:s Activity:s Year:i Month:i Consommation:d")
 def _(t):
-    return P.full_regional(*_regional(t), t.exogenous, 2001)[0]
+    return P.full_regional_short_term(P.regional_history(*_regional(t), t.exogenous, 2001), t.exogenous, 2001)
 
 
 @query("full_regional_long_term_j05", "Region:s Year:i Consommation:d")
 def _(t):
-    return P.full_regional(*_regional(t), t.exogenous, 2001)[1]
+    return P.full_regional_long_term(P.regional_history(*_regional(t), t.exogenous, 2001), t.exogenous, 2001)
 
 
 @query("full_contracts_short_term_j06", "Region:s Partenaire:s Contrat:i Activity:s Year:i Month:i Consommation_Total:d Puissance_Facturee:d Niveau_tension:s")
 def _(t):
-    return P.full_contracts(t.contracts, t.exogenous, 2001, forests=_FORESTS)[0]
+    return P.full_contracts_short_term(P.contract_history(t.contracts, t.exogenous, 2001, forests=_FORESTS), t.exogenous, 2001, forests=_FORESTS)
 
 
 @query("full_contracts_long_term_j06", "Region:s Partenaire:s Contrat:i Activity:s Year:i Consommation_Total:d Consommation_ZCONHC:d "
        "Consommation_ZCONHL:d Consommation_ZCONHP:d Puissance_Facturee:d Niveau_tension:s")
 def _(t):
-    return P.full_contracts(t.contracts, t.exogenous, 2001, forests=_FORESTS)[1]
+    return P.full_contracts_long_term(P.contract_history(t.contracts, t.exogenous, 2001, forests=_FORESTS), t.exogenous, 2001)
 
 
 def _corrected(t):

@@ -74,3 +74,22 @@ def _(t):
     f = B.similarity_forecast(near_contracts(t, 1997), established_forecasts(t), YEAR)
     full = B.with_empty_results(young, f, YEAR)
     return full.groupBy(N.CONTRAT).agg(F.count(F.lit(1)).alias("n"), F.count_if("sans_resultat").alias("vides"))
+
+
+def written_forecasts(t):
+    """Written short-term forecasts of all established contracts for the year."""
+    from wattline.plans.pipelines import established_forecasts as run
+
+    return run(t.contracts, K.contract_spans(t.contracts), t.exogenous, YEAR)[0]
+
+
+@query("similarity_forecast_all_h22", "contrat:i annee:i mois:i consommation:d")
+def _(t):
+    """New contracts from the written forecasts of all established ones."""
+    return B.similarity_forecast(near_contracts(t, 1997), written_forecasts(t), YEAR)
+
+
+@query("growth_forecast_all_h23", "contrat:i annee:i mois:i consommation:d")
+def _(t):
+    """Growing contracts from the written forecasts of all established ones."""
+    return B.growth_forecast(near_contracts(t, 1996), written_forecasts(t), t.cd, YEAR)

@@ -23,6 +23,8 @@ REGIONAL_GRID = {
     "lags": [2, 3], "lambdas": [0.3, 0.7, 1.0], "pc_weights": [0.2, 0.5], "windows": [4, 7, 10],
     "client_weights": [0.3, 0.5, 0.8], "use_clients": [False], "use_pf": [False],
 }
+# The same with and without the forecasts of the region's contracts.
+REGIONAL_CLIENT_GRID = {**REGIONAL_GRID, "use_clients": [True, False]}
 # Shipped settings of the contract runs.
 CONTRACT_GRID = {**REGIONAL_GRID, "lags": [1, 2], "lambdas": [0.2, 0.3, 0.4], "pc_weights": [0.5, 0.8], "windows": [1, 2, 3, 4],
                  "use_pf": [True, False]}

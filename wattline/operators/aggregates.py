@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from wattline import names as N
+from wattline.operators.quantiles import exact_quantiles
 
-AGGREGATES = {"sum": F.sum, "mean": F.avg, "median": F.median, "max": F.max, "min": F.min}
+AGGREGATES = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
 
 
 def monthly_sum(df: DataFrame, keys, value: str = N.CONSO) -> DataFrame:
@@ -190,6 +191,10 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
 
 def time_evolution(df: DataFrame, value: str, how: str, yearly: bool, keys=()) -> DataFrame:
     """Monthly series, or the yearly one made from it with the same function."""
-    f = AGGREGATES[how]
-    monthly = df.groupBy(*keys, N.ANNEE, N.MOIS).agg(f(value).alias(value))
-    return monthly.groupBy(*keys, N.ANNEE).agg(f(value).alias(value)) if yearly else monthly
+    def by(rows, *cols):
+        if how == "median":  # exact, without a group in one buffer
+            return exact_quantiles(rows, cols, value, (0.5,)).withColumnRenamed("q0", value)
+        return rows.groupBy(*cols).agg(AGGREGATES[how](value).alias(value))
+
+    monthly = by(df, *keys, N.ANNEE, N.MOIS)
+    return by(monthly, *keys, N.ANNEE) if yearly else monthly

@@ -78,3 +78,25 @@ def weighted_quantile(df: DataFrame, keys, value: str, weight: str, tau: float)
     total = F.sum(weight).over(W.partitionBy(*keys))
     cdf = df.withColumn("_cdf", F.sum(weight).over(up_to) / total)
     return cdf.filter(F.col("_cdf") >= tau).groupBy(*keys).agg(F.min(value).alias("quantile"))
+
+
+def flat_results(results: DataFrame, metrics: str = "metrics") -> DataFrame:
+    """Nested metrics (parts of named values) as plain columns ``name_part``, beside the other columns."""
+    parts = results.schema[metrics].dataType.fields
+    flat = [F.col(metrics)[p.name][v.name].alias(f"{v.name}_{p.name}") for p in parts for v in p.dataType.fields]
+    return results.select(*[c for c in results.columns if c != metrics], *flat)
+
+
+def ranked_nulls_last(results: DataFrame, first: str, second: str, tie: str, slices: int = 200) -> DataFrame:
+    """``results`` with ``rang`` from 1 by ``first``, then ``second``, then ``tie``, missing values last.
+
+    Rows are ranked inside slices of ``first``, cut at its approximate percentiles, and shifted by the slices before.
+    """
+    cuts = results.agg(F.percentile_approx(first, [i / slices for i in range(1, slices)], 10_000).alias("_cuts"))
+    # null is a slice after all others; equal values share a slice
+    at = F.when(F.col(first).isNull(), F.lit(slices)).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(first))))
+    placed = results.join(F.broadcast(cuts)).withColumn("_slice", F.coalesce(at, F.lit(0)).cast("int")).drop("_cuts")
+    sizes = placed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n")).agg(F.collect_list(F.struct("_slice", "_n")).alias("_sizes"))
+    before = F.aggregate("_sizes", F.lit(0).cast("bigint"), lambda s, x: s + F.when(x["_slice"] < F.col("_slice"), x["_n"]).otherwise(F.lit(0)))
+    inside = F.row_number().over(W.partitionBy("_slice").orderBy(F.asc_nulls_last(first), F.asc_nulls_last(second), F.asc(tie)))
+    return placed.join(F.broadcast(sizes)).withColumn("rang", before + inside).drop("_slice", "_sizes")
