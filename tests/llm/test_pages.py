@@ -51,6 +51,35 @@ def test_names_of_layout_keep_the_article(page, want):
     assert H.parse(page)[0] == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<article><p>a</p><section class='notice-of-terms'><p>b</p></section></article>", ["a", "b"]),
+    ("<article><p>a</p><div class='search-results-explained'><p>b</p></div></article>", ["a", "b"]),
+    ("<article><h1>T</h1><section id='header'><p>b c d</p></section></article>", ["T", "b c d"]),
+    ("<article><div class='content related'><p>b</p></div></article>", ["b"]),
+    ("<article><p>by A</p><div class='content related'><p>%s</p></div></article>" % ("b " * 300), ["by A", ("b " * 300).strip()]),
+    ("<article><p>a</p><section class='the-history-of-advertising'><p>b</p></section></article>", ["a", "b"]),
+    ("<div class='article-content'><p>long enough</p></div><div>tail</div>", ["long enough"]),
+    # an article's own chrome goes, however long it is
+    ("<article><p>a</p><div class='site-header'>long head</div><div class='cookie-notice'>we use cookies</div></article>", ["a"]),
+    ("<article><h1>T</h1><div class='comments'><p>nice</p></div></article>", ["T"]),
+    ("<article><p>a text</p><div class='notice'>a longer notice</div><div id='related'>others</div></article>", ["a text"]),
+])
+def test_names_count_as_a_whole(page, want):
+    assert H.parse(page)[0] == want
+
+
+def test_small_containers_named_like_an_article_leave_the_page_open():
+    for name in ("article-list", "post"):
+        article, rest, flags, has = H.parse(f"<div class='{name}'>x</div><p>main text</p>")
+        assert not has and [w for w, f in zip(rest, flags) if f] == ["x", "main text"]
+
+
+def test_very_long_pages_come_back_whole():
+    paragraphs = [f"p{i} " + "w" * (i % 70) + " end" for i in range(60_000)]
+    page = SHELL % ("<article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article>")
+    assert H.parse(page)[0] == [" ".join(p.split()) for p in paragraphs]
+
+
 def test_pages_wrapped_in_a_form_stay_open():
     article, rest, flags, has = H.parse("<body><form id=aspnetForm><nav>menu</nav><h1>T</h1><p>text</p><footer>end</footer></form>")
     assert not has and [w for w, f in zip(rest, flags) if f] == ["T", "text"] and H.parse("<form><p>mail</p></form>")[2] == [False]

@@ -31,7 +31,7 @@ from wattline.llm import bitset, kit, textkit as tk
 RUN = 8
 LONG = 32
 SHARE, TEXTS = 0.2, 3
-STREAM_TOKENS = 1 << 20
+MOST, BODY = 0.9, 500  # this share of an article's text, headings apart, and so many characters are its body; so is all of it
 _WORDS = tk.space_table()
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)
                       |<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[/!?a-zA-Z][^>]*(?:>|\Z)""", re.S | re.I | re.X)
@@ -46,6 +46,12 @@ CHROME_NAMES = frozenset("""ad ads advert adverts advertisement advertising aler
     navigation newsletter notice notices pager pagination popup promo promotion related reply replies respond search share sharing sidebar
     signup social sponsor sponsored subscribe subscription toolbar widget""".split())
 ARTICLE_NAMES = frozenset("article entry main post story".split())
+CONTENT = frozenset("area body container content inner section text wrap wrapper".split())
+# chrome names that main text may stand under as well; such an element is no chrome if it holds its article's body
+AMBIGUOUS = frozenset("alert banner disclaimer form header legal masthead notice notices related search social widget".split())
+# names with these words are titles turned into names ('history-of-advertising')
+TITLE_WORDS = frozenset("a about an and for how in of on or the to what why".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # names of an element that lists other texts: such a wrapper is no mere layout around the article
 OTHERS = frozenset("""ad ads advert adverts advertisement advertising comment comments promo promotion related replies reply respond
     sponsor sponsored widget""".split())
@@ -69,18 +75,27 @@ class _Element:
 
 
 def _names(attributes: str) -> tuple[set[str], set[str]]:
-    """Words of the class, id and role, and which of them name chrome. Classes that give a state ('has-sidebar') name nothing."""
-    words, chrome = set(), set()
+    """Article words and chrome words that the class, id and role name.
+
+    A name is judged as a whole: its last word that is not ``NEUTRAL`` says what it is, so 'share-buttons' and 'site-header' are
+    chrome, 'search-results-explained' and 'article-list' are not. An id must consist of chrome and neutral words alone, an
+    article's name of article and ``CONTENT`` words. States ('has-sidebar') and titles ('notice-of-terms') name nothing.
+    """
+    article, chrome = set(), set()
     for m in _NAMED.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
         for token in value.split():
             if _STATE.fullmatch(token):
                 continue
-            parts = {w for w in re.split(r"[^a-z0-9]+", token) if w}
-            words |= parts
-            if m[1].lower() != "id" or all(w in CHROME_NAMES or w in NEUTRAL or w.isdigit() for w in parts):
-                chrome |= parts & CHROME_NAMES
-    return words, chrome
+            parts = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+            if TITLE_WORDS.intersection(parts):
+                continue
+            if parts and all(w in ARTICLE_NAMES or w in CONTENT for w in parts):
+                article |= ARTICLE_NAMES.intersection(parts)
+            named = [w for w in parts if w not in NEUTRAL and not w.isdigit()]
+            if named and named[-1] in CHROME_NAMES and (m[1].lower() != "id" or all(w in CHROME_NAMES for w in named)):
+                chrome |= CHROME_NAMES.intersection(named)
+    return article, chrome
 
 
 def _element(tag: str, attributes: str) -> _Element | None:
@@ -92,10 +107,10 @@ def _element(tag: str, attributes: str) -> _Element | None:
         return _Element(_CHROME)
     if tag not in CONTAINERS or not attributes.strip():
         return None
-    words, chrome = _names(attributes)
+    article, chrome = _names(attributes)
     if chrome:
         return _Element(_WEAK, words=frozenset(chrome))
-    if words & ARTICLE_NAMES and tag in ("div", "section", "td"):
+    if article and tag in ("div", "section", "td"):
         return _Element(_ARTICLE, 1)
     return None
 
@@ -121,15 +136,37 @@ def _place(chain: list[_Element]) -> tuple[int, int, bool]:
     return _WEAK, rank, bool(wrappers & OTHERS)
 
 
+def _clear_holders(found: list[tuple[list[_Element], bool, str]]) -> None:
+    """Elements under ambiguous chrome names that hold their article's body become plain ones."""
+    held: dict[_Element, dict[_Element | None, int]] = {}
+    for chain, heading, words in found:
+        article = next((i for i, e in enumerate(chain) if e.kind == _ARTICLE), None)
+        if heading or article is None or any(e.kind in (_CHROME, _FORM) for e in chain[article:]):
+            continue
+        weak = [e for e in chain[article:] if e.kind == _WEAK]
+        if len(weak) > 1 or any(not e.words <= AMBIGUOUS for e in weak):
+            continue
+        sizes = held.setdefault(chain[article], {})
+        holder = weak[0] if weak else None
+        sizes[holder] = sizes.get(holder, 0) + len(words)
+    for sizes in held.values():
+        for holder, size in sizes.items():
+            total = sum(sizes.values())
+            if holder is not None and (size == total or size >= max(BODY, MOST * total)):
+                holder.kind = _LEAVE
+
+
 def blocks(page: str) -> list[tuple[int, str]]:
     """(zone, text) of the page's blocks in order; zone is article, chrome or open.
 
     Character references are decoded, white space becomes one blank, empty blocks go. Elements closed by an outer
     end tag or by the end of the page end there. ``article`` and ``main`` are articles whatever they are called. A name makes
     chrome of a container only, and not if the container holds the page's article: one outside such containers goes before, and
-    for a list of comments, related texts or adverts any open text does. A form that holds page structure is no chrome.
+    for a list of comments, related texts or adverts any open text does. A form that holds page structure is no chrome. Inside an
+    article a chrome-named container that holds its body (``MOST``, ``BODY``) is none either, if the name leaves that open (``AMBIGUOUS``).
+    Containers named like an article count only if they hold more text than stands openly outside them.
     """
-    found: list[tuple[list[_Element], str]] = []
+    found: list[tuple[list[_Element], bool, str]] = []
     text: list[str] = []
     stack: list[tuple[str, _Element | None]] = []
     marked = False
@@ -138,7 +175,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
         words = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if words:
-            found.append(([e for _, e in stack if e is not None], words))
+            found.append(([e for _, e in stack if e is not None], any(t in HEADINGS for t, _ in stack), words))
 
     at = 0
     for m in _TAG.finditer(page):
@@ -176,14 +213,18 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 stack.append((tag, element))
     text.append(page[at:])
     flush()
-    placed = [(*_place(chain), words) for chain, words in found]
+    _clear_holders(found)
+    placed = [(*_place(chain), words) for chain, _, words in found]
     best = max((rank for zone, rank, _, _ in placed if zone == _ARTICLE), default=0)
+    inside = sum(len(words) for zone, _, _, words in placed if zone == _ARTICLE)
+    outside = sum(len(words) for zone, _, _, words in placed if zone == _LEAVE)
+    minor = best == 1 and inside <= outside
     is_open = any(zone == _LEAVE for zone, _, _, _ in placed)
     out = []
     for zone, rank, others, words in placed:
         if zone == _WEAK:
             zone = _ARTICLE if rank > best and not (others and (best or is_open)) else _CHROME
-        elif zone == _ARTICLE and rank == 1 and marked:  # a container named like an article counts only where no element says so
+        elif zone == _ARTICLE and rank == 1 and (marked or minor):  # a container named like an article counts only where no element says so
             zone = _LEAVE
         out.append((zone, words))
     return out
