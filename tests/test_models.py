@@ -55,6 +55,31 @@ def test_native_growth_equals_kernel(spark):
     assert {r.k: pytest.approx(r.p, rel=1e-6) for r in got.collect()} == want
 
 
+def test_asymmetric_growth_is_the_best_in_its_box(spark):
+    rng = np.random.default_rng(8)
+    rows, growths = [], {}
+    for k in range(60):
+        n = int(rng.integers(4, 10))
+        v = 100 * np.exp(np.cumsum(rng.normal(0.02, 0.1, size=n)))
+        rows += [(k, 2000 + i, float(x)) for i, x in enumerate(v)]
+        growths[k] = np.diff(np.log(v))
+    df = spark.createDataFrame(rows, "k bigint, annee bigint, v double")
+    a, b = (z.ravel() for z in np.meshgrid(np.linspace(0, 0.3, 301), np.linspace(0, 1, 201)))
+    for penalty in (2.0, 10.0):
+        got = T.asymmetric_growth(df, ["k"], "v", penalty).collect()
+        assert len(got) == 60
+        for r in got:
+            g = growths[r.k]
+
+            def loss(c, rho):
+                e = g[1:, None] - c - rho * g[:-1, None]
+                return (np.where(e > 0, penalty, 1.0) * e * e).sum(axis=0)
+
+            assert 0 <= r.rho <= 1 and r.drift >= 0 and loss(np.array([r.drift]), np.array([r.rho]))[0] <= loss(a, b).min() + 1e-9
+    plain = {r.k: (r.rho, r.drift) for r in T.mean_reverting_growth(df, ["k"], "v").collect()}
+    assert {r.k: pytest.approx((r.rho, r.drift), abs=1e-6) for r in T.asymmetric_growth(df, ["k"], "v", 1.0).collect()} == plain
+
+
 def test_known_growth_is_recovered():
     g = [0.05]
     for _ in range(40):

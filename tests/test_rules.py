@@ -194,3 +194,22 @@ def test_saved_table_is_replaced(spark, tmp_path):
     T.replace_table(spark.range(3), "wl_test.t")
     assert spark.table("wl_test.t").count() == 3
     spark.sql("drop database wl_test cascade")
+
+
+def test_upsert_rewrites_touched_years_only(spark, tmp_path):
+    path = tmp_path / "history"
+    T.replace_parquet(spark.createDataFrame([(c, y, m, 1.0, "a") for c in range(5) for y in (2000, 2001, 2002) for m in (1, 2)],
+                                            "contrat bigint, annee int, mois int, v double, tag string"), str(path), ["annee"])
+    files = lambda: {f.relative_to(path): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    before = files()
+    new = spark.createDataFrame([(0, 2001, 1, 9.0), (0, 2001, 3, 8.0), (7, 2003, 1, 7.0)], "contrat bigint, annee int, mois int, v double")
+    for _ in range(2):  # a rerun changes nothing more
+        got = T.upsert_partitions(str(path), new, ["contrat", "annee", "mois"])
+        assert got.count() == 32
+        assert rows(got.filter("v > 1").select("contrat", "annee", "mois", "v", "tag")) == [(0, 2001, 1, 9.0, None), (0, 2001, 3, 8.0, None), (7, 2003, 1, 7.0, None)]
+        assert got.filter("annee = 2001").count() == 11
+    after = files()
+    untouched = {f for f in before if f.parts[0] in ("annee=2000", "annee=2002")}
+    assert {f: after[f] for f in untouched} == {f: before[f] for f in untouched}
+    assert not {f for f in before if f.parts[0] == "annee=2001"} & set(after)
+    assert T.upsert_partitions(str(path), new.limit(0), ["contrat", "annee", "mois"]).count() == 32 and files() == after

@@ -8,6 +8,7 @@ from wattline.catalog.registry import query
 from wattline.functions import columns as C
 from wattline.operators import adjustments as J, aggregates as A, contracts as K, joins as L, rules as R
 from wattline.operators.asof import latest_at
+from wattline.session import scratch_path
 from wattline.sources import tables as T
 
 _EXO = ("exo as (select annee, sum(pib_mdh) as pib_mdh from exogenous where annee <> 1998 group by 1)")
@@ -209,6 +210,16 @@ def _(t):
     return R.upsert(t.cd.select(*cols), forecast_2001(t), [N.CONTRAT, N.ANNEE, N.MOIS], N.CONSO, [N.CONTRAT])
 
 
+@query("upsert_partitions_d18", "region:s partenaire:s contrat:i activite:s annee:i mois:i consommation_kwh:d",
+       "select region, partenaire, contrat, activite, annee, mois, consommation_kwh from cd where not exists (select 1 from f where f.contrat = cd.contrat and "
+       "f.annee = cd.annee and f.mois = cd.mois) union all select region, partenaire, contrat, activite, annee, mois, v from f", "cd", _UP, scale=7)
+def _(t):
+    cols = [N.REGION, N.PARTENAIRE, N.CONTRAT, N.ACTIVITE, N.ANNEE, N.MOIS, N.CONSO]
+    path = scratch_path(t.spark, "history")
+    T.replace_parquet(t.cd.select(*cols), path, [N.ANNEE])
+    return T.upsert_partitions(path, forecast_2001(t), [N.CONTRAT, N.ANNEE, N.MOIS])
+
+
 @query("upsert_regional_forecast_d18", "region:s activite:s annee:i mois:i consommation_kwh:d",
        "select coalesce(c.region, f.region) as region, coalesce(c.activite, f.activite) as activite, coalesce(c.annee, f.annee) as annee, "
        "coalesce(c.mois, f.mois) as mois, coalesce(f.v, c.v) as consommation_kwh from (select * from s where activite in (select activite "

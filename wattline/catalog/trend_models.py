@@ -164,6 +164,26 @@ def _(t):
     return T.mean_reverting_growth(contract_annual(t), [N.CONTRAT], "v").withColumn("prediction", T.next_level())
 
 
+# Every pattern of error signs of a contract gives one weighted problem; the least true loss among their solutions is the optimum.
+ASYMMETRIC_SQL = (GROWTH_SQL + ", pr as (select contrat, x, y, row_number() over (partition by contrat order by annee) - 1 as i from g1 where x is not null and y is "
+                  "not null), pa as (select contrat, unnest(range(cast(pow(2, n) as bigint))) as b from mo where n > 1), wp as (select pa.contrat, b, x, y, case when "
+                  "(b >> i) & 1 = 1 then 2.0 else 1.0 end as w from pa join pr on pr.contrat = pa.contrat), ws as (select contrat, b, sum(w) as n, sum(w * x) as sx, "
+                  "sum(w * y) as sy, sum(w * x * x) as sxx, sum(w * x * y) as sxy from wp group by 1, 2), wo as (select *, case when n * sxx - sx * sx <> 0 then "
+                  "(n * sxy - sx * sy) / (n * sxx - sx * sx) end as r from ws), wc as (select contrat, r as rho, (sy - r * sx) / n as c from wo where r between 0 and 1 "
+                  "and sy - r * sx >= 0 union select contrat, 0, greatest(0, sy / n) from wo union select contrat, 1, greatest(0, (sy - sx) / n) from wo union select "
+                  "contrat, case when sxx > 0 then greatest(0, least(1, sxy / sxx)) else 0 end, 0 from wo), wl as (select wc.contrat, rho, c, sum(case when y > c + rho "
+                  "* x then 2.0 else 1.0 end * (y - c - rho * x) ** 2) as loss from wc join pr on pr.contrat = wc.contrat group by 1, 2, 3), af as (select contrat, "
+                  "arg_min(rho, loss) as rho, arg_min(c, loss) as c from wl group by 1 union all select contrat, 0.5, greatest(0, sy - 0.5 * sx) from mo where n = 1)")
+
+
+@query("asymmetric_growth_h10", "contrat:i rho:d drift:d log_prediction:d",
+       "select af.contrat, af.rho, af.c as drift, ln(last_y) + af.c + af.rho * last_growth as log_prediction from af join mo on mo.contrat = af.contrat", "cd",
+       _KY + ASYMMETRIC_SQL, scale=5)
+def _(t):
+    fit = T.asymmetric_growth(contract_annual(t), [N.CONTRAT], "v", penalty=2.0)
+    return fit.withColumn("log_prediction", F.ln("last_y") + T.growth_step(F.col("last_growth")))
+
+
 @query("growth_horizon_h11", "contrat:i annee:i log_prediction:d",
        "select contrat, annee, ln(y) as log_prediction from st where h > 0", "cd", _KY + GROWTH_SQL + ", st as (select contrat, 0 as h, last_year as annee, last_growth as "
        "g, last_y as y, rho, c from fit union all select contrat, h + 1, annee + 1, c + rho * g, y * exp(c + rho * g), rho, c from st where h < 5)",

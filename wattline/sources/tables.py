@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wattline import names as N
 from wattline.functions.columns import require_columns
+from wattline.session import materialize
+
+SLICES = 16  # files of a rewritten year
 
 
 def regional_scan(grd: DataFrame, variable: str = N.CONSO, classes=(N.CLASS_MT, N.CLASS_BT, N.CLASS_TOTAL)) -> DataFrame:
@@ -113,6 +116,25 @@ def append_into_new(history_path: str, new_rows: DataFrame, out_path: str, order
     return replace_parquet(merged.orderBy(*order_by), out_path)
 
 
+def upsert_partitions(path: str, rows: DataFrame, keys, partition: str = N.ANNEE) -> DataFrame:
+    """Rows replace those of equal keys in a Parquet folder partitioned by year and extend it elsewhere; returns the folder as a frame.
+
+    ``keys`` hold the partition column. Only years that ``rows`` touch are read and rewritten, in one job that overwrites
+    those partitions when it commits; a failed job leaves the folder as it was. The merged years are written to the shared folder first,
+    so nothing is read from files being replaced. Columns the folder lacks are dropped, columns the rows lack are null.
+    Null keys equal nothing: such rows are added. Repeated keys among ``rows`` are all written. No rows change nothing.
+    """
+    spark = rows.sparkSession
+    stored = spark.read.parquet(path)
+    rows = materialize(rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in stored.schema]), "rows")
+    years = F.broadcast(rows.select(partition).distinct())  # calendar years: a short list
+    kept = stored.join(years, partition, "left_semi").join(rows.select(*keys), list(keys), "left_anti")
+    merged = materialize(kept.unionByName(rows), "touched-years")
+    merged.repartition(partition, F.pmod(F.xxhash64(*keys), F.lit(SLICES))).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    return spark.read.schema(stored.schema).parquet(path)
+
+
 def combine_sheets(sheets: dict[str, DataFrame], label: str = "City") -> DataFrame:
     """Stack named sheets with their name as a column; rows without any value are dropped."""
     frames = [df.dropna("all").withColumn(label, F.lit(name)) for name, df in sheets.items()]
