@@ -28,8 +28,8 @@ def _(t):
 
 @query("short_term_regional_j01", "region:s activite:s annee:i mois:i consommation:d")
 def _(t):
-    monthly = P.regional_series(*_regional(t)).filter(F.col(N.ANNEE) < 2001)
-    return P.short_term_regional(monthly, t.exogenous, 2001)
+    monthly = P.regional_series(*_regional(t)).filter(F.col(N.ANNEE) <= t.last_year)
+    return P.short_term_regional(monthly, t.exogenous, t.last_year + 1)
 
 
 @query("short_term_contracts_j02", "region:s partenaire:s contrat:i activite:s annee:i mois:i consommation:d consommation_zconhc:d consommation_zconhl:d "

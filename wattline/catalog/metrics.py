@@ -109,7 +109,7 @@ _RA = "ra as (select region || '|' || activite as k, annee, sum(consommation_kwh
        "select a.k as serie_1, b.k as serie_2, corr(a.v, b.v) as correlation from ra a join ra b on b.annee = a.annee and a.k < b.k group by 1, 2 having "
        "abs(corr(a.v, b.v)) >= 0.85", "cd", _RA, scale=6)
 def _(t):
-    yearly = t.cd.filter(F.col(N.ANNEE) < 2001).groupBy(F.concat_ws("|", *KEYS).alias("k"), N.ANNEE).agg(F.sum(N.CONSO).alias("v"))
+    yearly = t.history.groupBy(F.concat_ws("|", *KEYS).alias("k"), N.ANNEE).agg(F.sum(N.CONSO).alias("v"))
     return C.correlated_pairs(yearly, "k", "v", 0.85)
 
 

@@ -15,6 +15,7 @@ from wattline.sources.fixtures import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+DEFINITIONS: dict[str, dict] = {}
 
 
 def _parse(cols: str) -> list[tuple[str, str]]:
@@ -43,8 +44,11 @@ def _sql_col(name: str, code: str, scale: int) -> str:
 
 
 def query(name: str, cols: str, sql: str | None = None, views: str = "", ctes: str = "", scale: int = 4,
-          recursive: bool = False):
-    """Register ``fn(tables) -> DataFrame`` under ``name``; ``sql`` may use the named views and CTEs."""
+          recursive: bool = False, tables: type[Tables] = Tables):
+    """Register ``fn(tables) -> DataFrame`` under ``name``; ``sql`` may use the named views and CTEs.
+
+    ``tables`` is the class that reads the data folder.
+    """
     parsed = _parse(cols)
 
     def register(fn: Callable[[Tables], DataFrame]):
@@ -52,11 +56,12 @@ def query(name: str, cols: str, sql: str | None = None, views: str = "", ctes: s
             raise ValueError(f"duplicate query {name}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = fn(Tables(spark, sf_dir))
+            df = fn(tables(spark, sf_dir))
             return df.select(*[_spark_col(n, c, scale) for n, c in parsed])
 
         run.__name__ = name
         QUERIES[name] = run
+        DEFINITIONS[name] = {"fn": fn, "cols": cols, "sql": sql, "views": views, "ctes": ctes, "scale": scale, "recursive": recursive}
         if sql is not None:
             parts = [p for p in (with_views(*views.split()) if views else "", ctes.strip().rstrip(",")) if p]
             head = f"with {'recursive ' if recursive else ''}{', '.join(parts)} " if parts else ""

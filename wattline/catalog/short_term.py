@@ -15,7 +15,7 @@ _METRICS = "monthly_mae:d monthly_mape:d monthly_r2:d annual_mae:d annual_mape:d
 
 def regional_monthly(t):
     """Dense series per region and activity plus the regional total, complete years only."""
-    parts = t.cd.filter(F.col(N.ANNEE) < 2001).groupBy(*KEYS, N.ANNEE, N.MOIS).agg(
+    parts = t.history.groupBy(*KEYS, N.ANNEE, N.MOIS).agg(
         F.sum(N.CONSO).alias("v"), F.sum(N.PF).alias("p"))
     total = parts.groupBy(N.REGION, N.ANNEE, N.MOIS).agg(F.sum("v").alias("v"), F.sum("p").alias("p")).withColumn(N.ACTIVITE, F.lit(N.TOTAL))
     return parts.unionByName(total)
@@ -61,4 +61,4 @@ def _(t):
 @query("short_term_intervals_h30", "region:s activite:s mois:i prediction:d bas:d haut:d")
 def _(t):
     rows = M.long_predictions(M.run_short_term(packed_regional(t), KEYS, favor_overestimation=False), KEYS)
-    return Q.residual_interval(rows, KEYS, F.lit(2000))
+    return Q.residual_interval(rows, KEYS, F.lit(t.last_year))

@@ -13,7 +13,7 @@ KEY = [N.REGION]
 
 
 def regional_annual(t):
-    return t.cd.filter(F.col(N.ANNEE) < 2001).groupBy(N.REGION, N.ANNEE).agg(F.sum(N.CONSO).alias("v"))
+    return t.history.groupBy(N.REGION, N.ANNEE).agg(F.sum(N.CONSO).alias("v"))
 
 
 _FOLD = (", fo as (select te.region, te.annee as test_annee, te.v as actual, tr.annee, tr.v as train, row_number() over (partition by te.region, te.annee "
@@ -51,7 +51,7 @@ _LIN = (", rk as (select *, row_number() over (partition by region order by anne
        "forecast_2001 from lin", "cd", RY + _LIN, scale=2)
 def _(t):
     fit = T.linear_trend(regional_annual(t), KEY, "v", 0.02, 3)
-    return fit.withColumn("forecast_2001", T.trend_at(fit, F.lit(2001)))
+    return fit.withColumn("forecast_2001", T.trend_at(fit, F.lit(t.last_year + 1)))
 
 
 _CV = ("mc as (select region, mois, avg(v) / sum(avg(v)) over (partition by region) as part from (select region, annee, mois, sum(consommation_kwh) as v from "
@@ -63,7 +63,7 @@ _CV = ("mc as (select region, mois, avg(v) / sum(avg(v)) over (partition by regi
 
 def linear_forecast(t):
     """Monthly regional series to a back-tested next-year forecast, natively end to end."""
-    monthly = t.cd.filter(F.col(N.ANNEE) < 2001).groupBy(N.REGION, N.ANNEE, N.MOIS).agg(F.sum(N.CONSO).alias("v"))
+    monthly = t.history.groupBy(N.REGION, N.ANNEE, N.MOIS).agg(F.sum(N.CONSO).alias("v"))
     annual = monthly.groupBy(N.REGION, N.ANNEE).agg(F.sum("v").alias("v"))
     folds = T.rolling_folds(annual, KEY, "v", min_train=3)
     fold_keys = [N.REGION, "test_annee"]
@@ -88,7 +88,7 @@ def _(t):
        RY + _LIN, scale=2)
 def _(t):
     fit = T.power_trend(regional_annual(t), KEY, "v", 0.5, None, 3)
-    return fit.withColumn("forecast_2003", T.trend_at(fit, F.lit(2003), power=0.5))
+    return fit.withColumn("forecast_2003", T.trend_at(fit, F.lit(t.last_year + 3), power=0.5))
 
 
 @query("flat_trends_h14", "region:s mean:d median:d last:d mean3:d",
@@ -116,9 +116,9 @@ _CONS = (", dr as (select region, annee, count(distinct contrat) as d from cd gr
 
 def _driver(t):
     d = t.cd.select(N.REGION, N.ANNEE, N.CONTRAT).distinct().groupBy(N.REGION, N.ANNEE).agg(F.count(F.lit(1)).alias("d"))
-    years = F.explode(F.sequence(F.lit(2001), F.lit(2005)).cast("array<bigint>"))
-    future = d.filter(F.col(N.ANNEE) == 2000).select(N.REGION, "d", years.alias(N.ANNEE)).withColumn(
-        "d", F.col("d") * (1 + 0.1 * (F.col(N.ANNEE) - 2000)))
+    years = F.explode(F.sequence(F.lit(t.last_year + 1), F.lit(t.last_year + 5)).cast("array<bigint>"))
+    future = d.filter(F.col(N.ANNEE) == t.last_year).select(N.REGION, "d", years.alias(N.ANNEE)).withColumn(
+        "d", F.col("d") * (1 + 0.1 * (F.col(N.ANNEE) - t.last_year)))
     return d, future
 
 
@@ -155,7 +155,7 @@ _KY = "ky as (select contrat, annee, sum(consommation_kwh) as v from cd where an
 
 
 def contract_annual(t):
-    return t.cd.filter(F.col(N.ANNEE) < 2001).groupBy(N.CONTRAT, N.ANNEE).agg(F.sum(N.CONSO).alias("v"))
+    return t.history.groupBy(N.CONTRAT, N.ANNEE).agg(F.sum(N.CONSO).alias("v"))
 
 
 @query("mean_reverting_growth_h10", "contrat:i rho:d drift:d prediction:d",
@@ -202,7 +202,7 @@ def _(t):
        + GROWTH_SQL, scale=2)
 def _(t):
     keys = [N.REGION, N.ACTIVITE]
-    annual = t.cd.filter(F.col(N.ANNEE) < 2001).groupBy(*keys, N.ANNEE).agg(F.sum(N.CONSO).alias("v"))
+    annual = t.history.groupBy(*keys, N.ANNEE).agg(F.sum(N.CONSO).alias("v"))
     folds = T.rolling_folds(annual, keys, "v", min_train=3)
     fits = T.mean_reverting_growth(folds, [*keys, "test_annee"], "train")
     actual = folds.groupBy(*keys, "test_annee").agg(F.max("actual").alias("actual"))

@@ -82,7 +82,16 @@ select cd.*, date_emmenagement, date_demenagement
 from cd left join contract_dates on cd.contrat = contract_dates.contrat
 """
 
-_NEEDS = {"contracts": ["cd", "contract_dates"]}
+# The last year with orders in all twelve months, and the contract-months up to it.
+VIEWS["ly"] = """
+select max(y) as y from (select year(o_orderdate) as y from orders group by 1 having count(distinct month(o_orderdate)) = 12) t
+"""
+
+VIEWS["cw"] = """
+select * from cd where annee <= (select y from ly)
+"""
+
+_NEEDS = {"contracts": ["cd", "contract_dates"], "cw": ["cd", "ly"]}
 
 
 def with_views(*names: str) -> str:

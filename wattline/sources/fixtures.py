@@ -152,6 +152,16 @@ class Tables:
         """Contract-months with their date strings."""
         return self.cd.join(self.contract_dates, N.CONTRAT, "left")
 
+    @cached_property
+    def last_year(self) -> int:
+        """Where histories end; ``WholeYears`` reads it from the data."""
+        return 2000
+
+    @property
+    def history(self) -> DataFrame:
+        """Contract-months up to ``last_year``."""
+        return self.cd.filter(F.col(N.ANNEE) <= self.last_year)
+
     @cached_property
     def order_years(self) -> DataFrame:
         return self.raw("orders").select(_year("o_orderdate").alias(N.ANNEE)).distinct()
@@ -172,3 +182,14 @@ class Tables:
                 .select(F.col("r_name").alias(N.REGION), F.explode("years").alias(N.ANNEE))
                 .select(N.REGION, N.ANNEE, (0.5 * y).alias("temp_min_diff"),
                         (-1.0 * y).alias("precipitation_sum_diff"), (2.0 * y).alias("et0_diff")))
+
+
+class WholeYears(Tables):
+    """The same tables with histories up to the last year that has orders in all twelve months."""
+
+    @cached_property
+    def last_year(self) -> int:
+        """One number of a map-side folded scan of one column; as a literal it reaches the scans of the facts."""
+        months = self.raw("orders").groupBy(_year("o_orderdate").alias(N.ANNEE)).agg(F.size(F.collect_set(_month("o_orderdate"))).alias("_m"))
+        found = months.filter(F.col("_m") == 12).agg(F.max(N.ANNEE).alias("y")).first()["y"]
+        return -1 if found is None else int(found)
