@@ -4,7 +4,7 @@ from importlib import import_module
 
 _MODULES = ("fixtures_check", "sources", "scalars", "aggregates", "contracts", "joins", "windows",
             "business_rules", "metrics", "trend_models", "neighbours", "short_term", "long_term", "statistics",
-            "full_runs", "whole_years")
+            "full_runs", "whole_years", "adaptive_trend")
 
 
 def load():
