@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from itertools import product
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from wattline import names as N
 from wattline.functions.series import growth_features
-from wattline.models.gaussian_process import trend_gp
+from wattline.models.gaussian_process import KERNELS, PRIOR_OPTIONS, PRIORS, trend_gp
 from wattline.models.kernels import growth_forecast
 from wattline.models.short_term import score, spread
 from wattline.operators.metrics import select_best
@@ -39,14 +40,39 @@ def mean_reverting(years, y, x, new_years, x_new, params):
 
 # name -> fit_predict(years, values, features, new_years, new_features, params) -> (mean, low, high)
 MODELS = {"gp": trend_gp, "mean_reverting": mean_reverting}
+# Options each model reads beside its name; a model that is not listed reads any.
+MODEL_OPTIONS = {"gp": ("kernel", "normalize", "log", "prior", "alpha", "remove_outliers", "outlier_threshold", "intensity"), "mean_reverting": ("intensity",)}
 
 
-# (the registry travels inside each job's closure: workers never import the caller's additions)
-def register_model(name: str, fit_predict) -> None:
-    """Add a model callers can name in a grid."""
+# (the registries travel inside each job's closure: workers never import the caller's additions)
+def register_model(name: str, fit_predict, options=None) -> None:
+    """Add a model callers can name in a grid; ``options`` are the keys it reads (None: any)."""
     if not callable(fit_predict):
         raise TypeError("fit_predict must be callable")
     MODELS[name] = fit_predict
+    if options is not None:
+        MODEL_OPTIONS[name] = (*options, "intensity")
+    else:
+        MODEL_OPTIONS.pop(name, None)
+
+
+def check_models(models) -> None:
+    """Names must be registered, or every fold of theirs would fail far from here; options that nothing reads bring a warning."""
+    for m in models:
+        if m["model"] not in MODELS:
+            raise ValueError(f"unknown model {m['model']}; registered: {sorted(MODELS)}")
+        read = MODEL_OPTIONS.get(m["model"])
+        unused = [] if read is None else [k for k in m if k != "model" and k not in read]
+        if m["model"] == "gp":
+            prior = m.get("prior") or {}
+            kind, kernel = prior.get("type", "zero"), m.get("kernel") or "rbf_white"
+            if kind not in PRIOR_OPTIONS:
+                raise ValueError(f"unknown prior {kind}; registered: {sorted(PRIOR_OPTIONS)}")
+            if kernel not in KERNELS:
+                raise ValueError(f"unknown kernel {kernel}; registered: {sorted(KERNELS)}")
+            unused += [f"prior.{k}" for k in prior if k != "type" and k not in PRIOR_OPTIONS[kind]]
+        for k in unused:
+            warnings.warn(f"{m['model']}: option {k} is not used", stacklevel=3)
 
 
 def feature_names(block, transforms, lags) -> list[str]:
@@ -58,6 +84,7 @@ def feature_names(block, transforms, lags) -> list[str]:
 
 def grid_frame(spark: SparkSession, grid: dict, blocks, columns: list[str]) -> DataFrame:
     """Configurations in grid order with the positions of their feature columns."""
+    check_models(grid["models"])
     rows = []
     order = product(grid["windows"], grid["transforms"], grid["lags"], blocks, grid["use_pf"], grid["models"])
     for i, (window, transforms, lags, block, pf, model) in enumerate(order):
@@ -93,7 +120,12 @@ def pack_annual(annual: DataFrame, features: DataFrame, keys, value: str, block,
                                   (("y", "years"), ("v", "values"), ("x", "features"), ("d", "driver"), ("p", "power"))]), columns
 
 
-def _call(r, params, train: slice, test: slice, models):
+def _plugins() -> dict:
+    """Models, priors and kernels as they are now, for the closure of a job."""
+    return {"models": dict(MODELS), "priors": dict(PRIORS), "kernels": dict(KERNELS)}
+
+
+def _call(r, params, train: slice, test: slice, plugins):
     years = np.asarray(r.years)
     x = np.array([np.asarray(v, float) for v in r.features])[:, list(r.cols)] if len(r.cols) else np.zeros((len(years), 0))
     if r.use_pf:
@@ -102,7 +134,8 @@ def _call(r, params, train: slice, test: slice, models):
     d = np.asarray(r.driver, float) if params.get("intensity") else np.ones(len(years))
     if not np.isfinite(d[test]).all() or (d[train] == 0).any():
         raise ValueError("the driver is missing for a forecast year or zero in a training year")
-    out = models[params["model"]](years[train], y[train] / d[train], x[train], years[test], x[test], params)
+    params = {**params, "priors": plugins["priors"], "kernels": plugins["kernels"]}
+    out = plugins["models"][params["model"]](years[train], y[train] / d[train], x[train], years[test], x[test], params)
     return [o * d[test] for o in out]
 
 
@@ -112,7 +145,7 @@ def annual_folds(packed: DataFrame, grid: DataFrame, keys, min_train: int = 3) -
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + (
         ", ordinal int, cols array<int>, window int, use_pf boolean, params string, annees array<bigint>, predictions array<array<double>>, "
         "actuals array<array<double>>")
-    models = dict(MODELS)
+    plugins = _plugins()
 
     def run(batches):
         for pdf in batches:
@@ -126,7 +159,7 @@ def annual_folds(packed: DataFrame, grid: DataFrame, keys, min_train: int = 3) -
                     if t - first < min_train:
                         continue
                     try:
-                        mean = _call(r, params, slice(first, t), slice(t, t + 1), models)[0]
+                        mean = _call(r, params, slice(first, t), slice(t, t + 1), plugins)[0]
                     except (np.linalg.LinAlgError, ValueError):
                         continue
                     years.append(int(r.years[t]))
@@ -145,7 +178,7 @@ def refit_horizon(packed: DataFrame, best: DataFrame, keys) -> DataFrame:
     types = dict(packed.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", ordinal int, annee bigint, prediction double, bas double, haut double"
     work = packed.join(best.select(*keys, "ordinal", "cols", "window", "use_pf", "params"), list(keys))
-    models = dict(MODELS)
+    plugins = _plugins()
 
     def run(batches):
         for pdf in batches:
@@ -153,7 +186,7 @@ def refit_horizon(packed: DataFrame, best: DataFrame, keys) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 n = int(np.isfinite(np.asarray(r.values, float)).sum())
                 first = 0 if pd.isna(r.window) else max(0, n - int(r.window))
-                mean, low, high = _call(r, json.loads(r.params), slice(first, n), slice(n, len(r.years)), models)
+                mean, low, high = _call(r, json.loads(r.params), slice(first, n), slice(n, len(r.years)), plugins)
                 key = [getattr(r, k) for k in keys]
                 rows += [(*key, r.ordinal, int(y), float(a), float(b), float(c)) for y, a, b, c in zip(r.years[n:], mean, low, high)]
             yield pd.DataFrame(rows, columns=[*keys, "ordinal", N.ANNEE, "prediction", "bas", "haut"])
