@@ -5,7 +5,8 @@ Bodies, columns and SQL are those of the queries named; only the last year is re
 
 from wattline import names as N
 from wattline.catalog.registry import DEFINITIONS, query
-from wattline.operators import clustering as C
+from wattline.operators import clustering as C, neighbours as B
+from wattline.operators.prototypes import k_prototypes
 from wattline.sources.fixtures import WholeYears
 
 _NEXT = "(select y from ly)"
@@ -65,3 +66,8 @@ def _(t):
     first = t.history.agg({N.ANNEE: "min"}).first()[0]
     years = range(first, t.last_year + 1)
     return C.kmeans_sweep(C.yearly_columns(t.history, N.CONTRAT, N.CONSO, years), [f"y{y}" for y in years])
+
+
+@query("prototype_clusters_g15", "contrat:i activite:s cluster:i cost:d", tables=WholeYears)
+def _(t):
+    return k_prototypes(B.power_profiles(t.history, t.last_year), N.CONTRAT, N.ACTIVITE, B.DIMS)[0]
