@@ -9,11 +9,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wattline import names as N
 
 
+def _correlation(a: str, b: str) -> Column:
+    """Correlation of two measures as an aggregate; null below two rows or for a constant measure, for which ``corr`` divides by zero."""
+    x, y = F.col(a), F.col(b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y)))
+
+
 def measure_correlation(df: DataFrame, keys, a: str, b: str) -> DataFrame:
     """Correlation of two measures per group; null below two rows or for a constant measure."""
-    x, y = F.col(a), F.col(b)
-    varies = (F.var_pop(F.when(y.isNotNull(), x)) > 0) & (F.var_pop(F.when(x.isNotNull(), y)) > 0)
-    return df.groupBy(*keys).agg(F.when(varies, F.corr(x, y)).alias("correlation"))
+    return df.groupBy(*keys).agg(_correlation(a, b).alias("correlation"))
 
 
 def correlation_matrix(df: DataFrame, cols) -> DataFrame:
