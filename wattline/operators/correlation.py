@@ -23,7 +23,7 @@ def measure_correlation(df: DataFrame, keys, a: str, b: str) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols) -> DataFrame:
     """All pairs of the listed columns in one aggregate, as rows (a, b, correlation)."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[_correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     items = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("correlation"))
                       for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(items).alias("x")).select("x.*")
