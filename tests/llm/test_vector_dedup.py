@@ -150,3 +150,28 @@ def test_large_groups_are_joined_apart(spark):
 
 def test_no_rows(spark):
     assert vd.vector_groups(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_no_link_is_left_out(spark):
+    """Pairs of random vectors at the threshold, and groups that only one pair of vectors joins, in more than one block."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(0, 1, (400, 64))
+    vectors = [*base, *[near(rng, b, 0.9301, 1)[0] for b in base]]
+    for cosine in (0.931, 0.934, 0.94):  # paths: each vector near the one before and no other
+        path = rng.normal(0, 1, 64)
+        for _ in range(40):
+            vectors.append(path)
+            path = near(rng, path, cosine, 1)[0]
+    order = rng.permutation(len(vectors))
+    rows = [(i, [float(c) for c in vectors[k]], 0) for i, k in enumerate(order)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = brute(rows)
+    assert found(df, sample=60) == want
+    assert found(df, sample=60, block=2) == want
+
+
+def test_sets_of_a_task_are_joined_by_any_of_their_links():
+    root = np.arange(6)
+    # 0-5 and 3-4, joined by 4-5 alone, whose members each have a lesser neighbour
+    vd._join(root, np.array([0, 3, 4]), np.array([5, 4, 5]))
+    assert root.tolist() == [0, 1, 2, 0, 0, 0]
