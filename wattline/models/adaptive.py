@@ -2,13 +2,17 @@
 
 The trend starts at a series' first log level. Each year the gap of the level over the trend decides: the trend grows by
 ``mu + beta * gap`` (the second part only above the trend), and the level by as much, less ``alpha`` times the gap, with one
-alpha below the trend (recovery) and one above it (correction). A series is one short array, so history, forecast and fit are
-expressions over it, without Python workers.
+alpha below the trend (recovery) and one above it (correction). A series is one short array: history and forecast are expressions
+over it, and the fit, which tries many parameters, takes the series of a batch together in Python workers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from wattline import names as N
 
@@ -16,6 +20,7 @@ PARAMETERS = ("mu", "alpha_down", "alpha_up", "beta")
 # Bounds of the parameters (mu has no upper one) and the alphas of a series that never is on that side.
 BOUNDS = {"mu": 0.0, "alpha_down": (0.1, 1.5), "alpha_up": (0.0, 0.5), "beta": (0.0, 0.5)}
 UNSEEN = {"alpha_down": 0.5, "alpha_up": 0.1}
+CELLS = 4096  # years of the series that are fitted at once
 
 
 def log_series(annual: DataFrame, keys, value: str) -> DataFrame:
@@ -82,6 +87,66 @@ def trend_horizon(states: DataFrame, keys, horizon: int = 5) -> DataFrame:
     return states.select(*keys, F.explode(F.slice(path, 2, horizon)).alias("x")).select(*keys, f"x.{N.ANNEE}", F.col("x.l").alias("log_prediction"))
 
 
+def _scored(logs: np.ndarray, mu: np.ndarray, beta: np.ndarray, penalty: float, passes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(loss, alpha_down, alpha_up) of series (s, years) for their candidates (s, c); each year is one step for all of them."""
+    trend, steps = np.broadcast_to(logs[:, :1], mu.shape), []
+    for i in range(logs.shape[1] - 1):
+        gap = logs[:, i:i + 1] - trend
+        drift = mu + beta * np.maximum(0.0, gap)
+        steps.append((gap, gap < 0, drift, logs[:, i + 1:i + 2] - logs[:, i:i + 1]))
+        trend = trend + drift
+
+    def weight(alphas, gap, below, drift, d):
+        return 1.0 if penalty == 1.0 else np.where(d > drift - np.where(below, *alphas) * gap, penalty, 1.0)
+
+    def solved(alphas):
+        sums = {side: [np.zeros(mu.shape), np.zeros(mu.shape)] for side in ("down", "up")}
+        for gap, below, drift, d in steps:
+            w = weight(alphas, gap, below, drift, d)
+            rg, gg = w * (drift - d) * gap, w * gap * gap
+            for side, held in (("down", below), ("up", ~below)):
+                sums[side][0] += np.where(held, rg, 0.0)
+                sums[side][1] += np.where(held, gg, 0.0)
+        out = []
+        for side, (rg, gg) in sums.items():
+            low, high = BOUNDS[f"alpha_{side}"]
+            best = np.where(gg == 0, UNSEEN[f"alpha_{side}"], rg / np.where(gg == 0, 1.0, gg))
+            out.append(np.fmax(low, np.fmin(high, best)))
+        return out
+
+    alphas = [np.full(mu.shape, UNSEEN[f"alpha_{side}"]) for side in ("down", "up")]
+    for _ in range(1 if penalty == 1.0 else passes):
+        alphas = solved(alphas)
+    loss = np.zeros(mu.shape)
+    for gap, below, drift, d in steps:
+        e = d - drift + np.where(below, *alphas) * gap
+        loss += weight(alphas, gap, below, drift, d) * e * e
+    return loss / len(steps), *alphas
+
+
+def _search(logs: np.ndarray, penalty: float, cells: tuple[int, int], rounds: int, passes: int) -> np.ndarray:
+    """Rows (loss, mu, alpha_down, alpha_up, beta) of series of one length; of equal losses the least mu, then beta."""
+    n_mu, n_beta = cells
+    top = np.maximum(BOUNDS["mu"], np.diff(logs, axis=1).max(axis=1))
+    (low, high), count = BOUNDS["beta"], len(logs)
+    mu0, mu1, beta0, beta1 = np.full(count, BOUNDS["mu"]), top, np.full(count, low), np.full(count, high)
+    i = np.arange((n_mu + 1) * (n_beta + 1))
+    best = None
+    for _ in range(rounds):
+        wide_mu, wide_beta = (mu1 - mu0) / n_mu, (beta1 - beta0) / n_beta
+        mu = mu0[:, None] + wide_mu[:, None] * (i // (n_beta + 1))
+        beta = beta0[:, None] + wide_beta[:, None] * (i % (n_beta + 1))
+        loss, down, up = _scored(logs, mu, beta, penalty, passes)
+        tried = [loss, mu, beta, down, up]
+        if best is not None:
+            tried = [np.column_stack([best[:, k], x]) for k, x in enumerate(tried)]
+        first = np.lexsort(tuple(tried[::-1]), axis=1)[:, :1]
+        best = np.concatenate([np.take_along_axis(x, first, axis=1) for x in tried], axis=1)
+        mu0, mu1 = np.maximum(BOUNDS["mu"], best[:, 1] - wide_mu), np.minimum(top, best[:, 1] + wide_mu)
+        beta0, beta1 = np.maximum(low, best[:, 2] - wide_beta), np.minimum(high, best[:, 2] + wide_beta)
+    return best[:, [0, 1, 3, 4, 2]]
+
+
 def fit_adaptive_trend(series: DataFrame, penalty: float = 1.0, cells: tuple[int, int] = (12, 8), rounds: int = 4, passes: int = 6) -> DataFrame:
     """``series`` with ``parameters`` of least mean squared error and that ``loss``.
 
@@ -91,65 +156,24 @@ def fit_adaptive_trend(series: DataFrame, penalty: float = 1.0, cells: tuple[int
     forecast costs that many times its square; alphas are then reweighted by the signs of errors ``passes`` times. The loss
     need not be convex in (mu, beta): an optimum narrower than a cell of the first grid can be missed.
     """
-    weighs = float(penalty) != 1.0
-    spread = F.transform(F.sequence(F.lit(1), F.size("logs") - 1), lambda i: F.element_at("logs", i + 1) - F.element_at("logs", i))
-    rows = series.withColumn("_top", F.greatest(F.lit(BOUNDS["mu"]), F.array_max(spread)))
-
-    def weight(s, alphas):
-        if not weighs:
-            return F.lit(1.0)
-        return F.when(s["d"] > s["drift"] - _alpha(alphas, s["gap"]) * s["gap"], F.lit(float(penalty))).otherwise(1.0)
-
-    def solved(steps, alphas):
-        names = ("down_rg", "down_gg", "up_rg", "up_gg")
-
-        def add(a, s):
-            w, g, below = weight(s, alphas), s["gap"], s["gap"] < 0
-            rg, gg = w * (s["drift"] - s["d"]) * g, w * g * g
-            terms = (F.when(below, rg), F.when(below, gg), F.when(~below, rg), F.when(~below, gg))
-            return F.struct(*[(a[n] + F.coalesce(v, F.lit(0.0))).alias(n) for n, v in zip(names, terms)])
-
-        def alpha(m, side):
-            low, high = BOUNDS[f"alpha_{side}"]
-            best = F.try_divide(m[f"{side}_rg"], m[f"{side}_gg"])
-            return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(best, F.lit(UNSEEN[f"alpha_{side}"]))))
-
-        sums = F.aggregate(steps, F.struct(*[F.lit(0.0).alias(n) for n in names]), add)
-        return _let(sums, lambda m: _struct(alpha_down=alpha(m, "down"), alpha_up=alpha(m, "up")))
-
-    def scored(mu, beta):
-        def with_steps(steps):
-            start = _struct(**{k: F.lit(v) for k, v in UNSEEN.items()})
-            alphas = F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, lambda a, _: solved(steps, a)) if weighs else solved(steps, start)
-
-            def cost(a):
-                def error(s):
-                    e = s["d"] - s["drift"] + _alpha(a, s["gap"]) * s["gap"]
-                    return weight(s, a) * e * e
-
-                total = F.aggregate(F.transform(steps, error), F.lit(0.0), lambda x, e: x + e)
-                return _struct(loss=total / F.size(steps), mu=mu, beta=beta, alpha_down=a["alpha_down"], alpha_up=a["alpha_up"])
-
-            return _let(alphas, cost)
-
-        return _let(_growths({"mu": mu, "beta": beta})["steps"], with_steps)
-
-    low_beta, high_beta = BOUNDS["beta"]
-    n_mu, n_beta = cells
-    grid = F.sequence(F.lit(0), F.lit((n_mu + 1) * (n_beta + 1) - 1))
-
-    def around(box, _):
-        wide_mu, wide_beta = (box["mu1"] - box["mu0"]) / n_mu, (box["beta1"] - box["beta0"]) / n_beta
-        tried = F.transform(grid, lambda i: scored(box["mu0"] + wide_mu * F.floor(i / (n_beta + 1)), box["beta0"] + wide_beta * (i % (n_beta + 1))))
-
-        def closer(best):
-            return _struct(mu0=F.greatest(F.lit(BOUNDS["mu"]), best["mu"] - wide_mu), mu1=F.least(F.col("_top"), best["mu"] + wide_mu),
-                           beta0=F.greatest(F.lit(low_beta), best["beta"] - wide_beta), beta1=F.least(F.lit(high_beta), best["beta"] + wide_beta), best=best)
-
-        kept = F.array_min(F.concat(F.filter(F.array(box["best"]), lambda b: b.isNotNull()), tried))
-        return _let(kept, closer)
-
-    none = F.lit(None).cast("struct<loss:double,mu:double,beta:double,alpha_down:double,alpha_up:double>")
-    box = _struct(mu0=F.lit(BOUNDS["mu"]), mu1=F.col("_top"), beta0=F.lit(low_beta), beta1=F.lit(high_beta), best=none)
-    fitted = rows.withColumn("_b", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), box, around)["best"])
-    return fitted.withColumn("parameters", F.struct(*[F.col(f"_b.{p}").alias(p) for p in PARAMETERS])).withColumn("loss", F.col("_b.loss")).drop("_b", "_top")
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parameters = T.StructType([T.StructField(p, T.DoubleType()) for p in PARAMETERS])
+    schema = T.StructType([*series.schema.fields, T.StructField("parameters", parameters), T.StructField("loss", T.DoubleType())])
+    at, names = series.columns.index("logs"), schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logs = batch.column(at).to_pylist()
+            lengths = np.array([len(x) for x in logs], dtype=int)
+            out = np.empty((len(logs), 5))
+            for n in np.unique(lengths):
+                rows = np.flatnonzero(lengths == n)
+                step = max(1, CELLS // int(n))
+                for i in range(0, len(rows), step):
+                    some = rows[i:i + step]
+                    out[some] = _search(np.array([logs[k] for k in some], dtype=float), float(penalty), cells, rounds, passes)
+            fitted = pa.StructArray.from_arrays([pa.array(out[:, 1 + i]) for i in range(4)], names=list(PARAMETERS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, fitted, pa.array(out[:, 0])], names=names)
+
+    # a series is few bytes and much work, so the number of tasks is fixed
+    return series.repartition(tasks, *[c for c in series.columns if c != "logs"]).mapInArrow(run, schema)
