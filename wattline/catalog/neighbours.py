@@ -28,6 +28,7 @@ def established_forecasts(t):
 
 
 def near_contracts(t, first_start):
+    t = t.kept()
     profiles = materialize(B.with_scope(B.power_profiles(t.cd, YEAR), t.cd), "profiles")
     young = K.contract_spans(t.contracts).filter(F.col("start_year") >= first_start).select(N.CONTRAT)
     return B.nearest(profiles.join(young, N.CONTRAT, "left_semi"), profiles)
@@ -42,6 +43,7 @@ def _(t):
 @query("neighbour_weights_h21", "contrat:i ordre:i voisin:i poids:d", "select contrat, ordre, voisin, poids from wt", "contracts",
        SPAN + ", " + _PROF + _NEAR.format(start=1996, us="us"), scale=6)
 def _(t):
+    t = t.kept()
     usable = established_forecasts(t).filter(F.col(N.ANNEE) == YEAR).select(F.col(N.CONTRAT).alias("voisin")).distinct()
     return B.weighted_neighbours(near_contracts(t, 1996), usable)
 
@@ -50,6 +52,7 @@ def _(t):
        f"select wt.contrat, {YEAR} as annee, mois, sum(poids * prediction) as consommation from wt join fc on fc.contrat = wt.voisin and fc.annee = {YEAR} group by "
        "1, 3", "contracts", SPAN + ", " + _PROF + _NEAR.format(start=1997, us="us"), scale=6)
 def _(t):
+    t = t.kept()
     return B.similarity_forecast(near_contracts(t, 1997), established_forecasts(t), YEAR)
 
 
@@ -62,6 +65,7 @@ def _(t):
            ", tp as (", f", gr as (select contrat as voisin, ln(sum(prediction) filter (where annee = {YEAR}) + 1e-9) - ln(sum(actual) filter (where annee = "
            f"{YEAR - 1}) + 1e-9) as g from fc group by 1 having g is not null), tp as ("), scale=3)
 def _(t):
+    t = t.kept()
     return B.growth_forecast(near_contracts(t, 1996), established_forecasts(t), t.cd, YEAR)
 
 
@@ -70,6 +74,7 @@ def _(t):
        f"fc.contrat = wt.voisin and fc.annee = {YEAR}) fc on fc.contrat = s.contrat where s.start_year >= 1997 group by 1", "contracts",
        SPAN + ", " + _PROF + _NEAR.format(start=1997, us="us"))
 def _(t):
+    t = t.kept()
     young = K.contract_spans(t.contracts).filter(F.col("start_year") >= 1997)
     f = B.similarity_forecast(near_contracts(t, 1997), established_forecasts(t), YEAR)
     full = B.with_empty_results(young, f, YEAR)

@@ -254,6 +254,7 @@ def _(t):
        "sum(puissance_facturee) as ventes, sum(consommation_kwh) as consommation from cd group by 1, 2, 3) g "
        "on g.contrat = c.contrat and g.annee = y and g.mois = m", "cd", scale=2)
 def _(t):
+    t = t.kept()
     keys, labels = [N.PARTENAIRE, N.CONTRAT, N.ACTIVITE], labels_of(t.cd)
     sales = S.pivot_months(t.cd, keys, N.PF, labels)
     use = S.pivot_months(t.cd, keys, N.CONSO, labels)

@@ -61,14 +61,16 @@ def sheet_to_monthly(sheet: DataFrame, label_col: str, value_cols, activities: D
 
 
 def sales_and_use(sales: DataFrame, use: DataFrame, keys, labels) -> DataFrame:
-    """Two wide sheets (sales, use) to one long table: use joins sales on key and month."""
+    """Two wide sheets (sales, use) to one long table: use joins sales on key and month.
 
-    def long(df, name):
-        m = melt(df, keys, labels, "label", name)
-        return m.select(*keys, C.label_month(F.col("label")).alias(N.MOIS), C.label_year(F.col("label")).alias(N.ANNEE),
-                        C.to_number(F.col(name).cast("string")).alias(name))
-
-    return long(sales, "ventes").join(long(use, "consommation"), [*keys, N.MOIS, N.ANNEE], "left")
+    The sheets meet as they are, by key; months pair up inside a joined row, so no long table is shuffled.
+    """
+    when = {x: tuple(int(v) for v in x.split(".")[:2]) for x in labels}
+    right = use.select(*keys, *[F.col(f"`{x}`").alias(f"_u{i}") for i, x in enumerate(labels)], F.lit(True).alias("_use"))
+    cells = [F.struct(F.lit(when[x][0]).cast("bigint").alias(N.MOIS), F.lit(when[x][1]).cast("bigint").alias(N.ANNEE), C.to_number(F.col(f"`{x}`")).alias("ventes"),
+                      F.when(F.col("_use"), C.to_number(F.col(f"_u{i}"))).alias("consommation"))
+             for x in labels for i, other in enumerate(labels) if when[x] == when[other]]
+    return sales.join(right, list(keys), "left").select(*keys, F.explode(F.array(*cells)).alias("_cell")).select(*keys, "_cell.*")
 
 
 GROUP_BLOCKS = 10_000
