@@ -63,6 +63,7 @@ _again("short_term_regional_j01", "short_term_regional_whole_j01")
 
 @query("kmeans_sweep_whole_g14", "k:i silhouette:d", tables=WholeYears)
 def _(t):
+    t = t.kept()
     first = t.history.agg({N.ANNEE: "min"}).first()[0]
     years = range(first, t.last_year + 1)
     return C.kmeans_sweep(C.yearly_columns(t.history, N.CONTRAT, N.CONSO, years), [f"y{y}" for y in years])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from wattline import names as N
 
 MAX_ITERATIONS = 300  # fixed value: the source programs' solver default; runs stop earlier when centres settle
+PARALLEL = 3
 
 
 def yearly_columns(df: DataFrame, key: str, value: str, years) -> DataFrame:
@@ -25,10 +28,17 @@ def kmeans_sweep(wide: DataFrame, cols, ks=range(2, 11), seed: int = 42) -> Data
     """Silhouette (squared Euclidean) of k-means on standardised columns for each k."""
     from wattline.session import materialize
 
+    wide = materialize(wide, "wide")
     stages = [VectorAssembler(inputCols=list(cols), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
     data = materialize(Pipeline(stages=stages).fit(wide).transform(wide).select("features"), "scaled")
     judge = ClusteringEvaluator()
-    rows = [(int(k), float(judge.evaluate(KMeans(k=int(k), seed=seed, maxIter=MAX_ITERATIONS).fit(data).transform(data)))) for k in ks]
+
+    def silhouette(k: int) -> float:
+        return float(judge.evaluate(KMeans(k=k, seed=seed, maxIter=MAX_ITERATIONS).fit(data).transform(data)))
+
+    # independent distributed fits of many short jobs; threads only let the scheduler overlap them
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        rows = [(int(k), s) for k, s in zip(ks, pool.map(silhouette, [int(k) for k in ks]))]
     return wide.sparkSession.createDataFrame(rows, "k int, silhouette double")
 
 
